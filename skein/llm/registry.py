@@ -21,6 +21,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.exact_dedup import exact_duplicates
+
+    return exact_duplicates(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.token_counts import token_counts
 
@@ -33,10 +39,33 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digests(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), max_tokens=2048, end_id=1)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), radius=4, shingle=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_exact_dedup": op2_exact_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
+    "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, length(coalesce(text, '')) AS n,
+                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+            FROM documents
+        )
+        SELECT doc_id,
+               first_value(doc_id) OVER w AS keep_id,
+               count(*) OVER (PARTITION BY norm) AS group_size,
+               doc_id = first_value(doc_id) OVER w AS kept,
+               sha256(norm) AS text_sha256
+        FROM d
+        WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)
+    """,
+}
