@@ -3,8 +3,9 @@
 A batch of distinct words becomes one flat numpy array of symbols. Each round finds
 the lowest pair rank of every word (a segmented minimum), merges all its leftmost
 non-overlapping occurrences at once, and compacts the array, until no word has a
-pair left. Words end before every space marker that follows another character, and
-at characters that no piece holds, so no merge is lost at a word's edge.
+pair left. Words end before every space marker that follows another character, between
+Latin letters and other characters, and at line ends. No piece crosses these edges (checked
+when a model is loaded), so no merge is lost there.
 
 Results equal the sentencepiece library's for BPE models with the identity
 normaliser, a dummy prefix and byte fallback (checked when a model is loaded).
@@ -36,8 +37,10 @@ SHIFT = np.int64(22)  # code points, offset by the vocabulary size, fit in 22 bi
 #: Rounds after which the few words still merging, all very long ones, go to the queue.
 MOST_ROUNDS = 400
 #: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 250_000
-WORD = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
+CACHE_WORDS = 400_000
+#: Latin letters, A to Z and U+00C0 to U+024F: no piece joins one to a character outside, other than space markers before it.
+LATIN = "A-Za-z\u00c0-\u024f"
+WORD = re.compile(rf"{MARK}*(?:[{LATIN}]+|[^{LATIN}{MARK}\n]+)|\n|{MARK}+")
 
 
 def _each_byte(err: UnicodeDecodeError) -> tuple[str, int]:
@@ -74,7 +77,7 @@ class PieceBpe:
 
         keys, rank, made = [], [], []
         for p, i in ids.items():
-            if MARK in p.lstrip(MARK) or "\n" in p:
+            if WORD.fullmatch(p) is None or "\n" in p:
                 raise ValueError("only models whose pieces stay inside a word are supported")
             for cut in range(1, len(p)):
                 left, right = ids.get(p[:cut]), ids.get(p[cut:])
@@ -86,10 +89,8 @@ class PieceBpe:
                     rank.append(ranks[i])
                     made.append(i)
         order = np.argsort(keys)
-        self.keys = np.array(keys, dtype=np.int64)[order]
-        self.rank = np.array(rank, dtype=np.int64)[order]
-        self.made = np.array(made, dtype=np.int64)[order]
-        self.pair = {int(k): (int(r), int(m)) for k, r, m in zip(self.keys, self.rank, self.made, strict=True)}
+        self._hash(np.array(keys, dtype=np.int64)[order], np.array(rank, dtype=np.int64)[order], np.array(made, dtype=np.int64)[order])
+        self.pair = {k: (int(r), m) for k, r, m in zip(keys, rank, made, strict=True)}
 
         surface = [p.replace(MARK, " ").encode() for p in pieces]
         for b, i in byte_ids.items():
@@ -107,11 +108,43 @@ class PieceBpe:
 
     # -- encoding
 
+    def _hash(self, keys: np.ndarray, rank: np.ndarray, made: np.ndarray) -> None:
+        """An open hash table of the pairs, at most a sixteenth full, with linear probing."""
+        self.bits = max(4, len(keys).bit_length() + 4)
+        size = 1 << self.bits
+        self.keys = np.full(size, -1, dtype=np.int64)
+        self.rank = np.full(size, NONE)
+        self.made = np.zeros(size, dtype=np.int64)
+        at, self.probes = self._place(keys), 0
+        todo = np.arange(len(keys))
+        while len(todo):  # every round each free place takes one of the keys that want it
+            self.probes += 1
+            free = todo[self.keys[at[todo]] == -1]
+            place, one = np.unique(at[free], return_index=True)
+            self.keys[place] = keys[free[one]]
+            self.rank[place] = rank[free[one]]
+            self.made[place] = made[free[one]]
+            todo = np.setdiff1d(todo, free[one])
+            at[todo] = (at[todo] + 1) & (size - 1)
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = (left << SHIFT) | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        found = self.keys[at] == key
-        return np.where(found, self.rank[at], NONE), np.where(found, self.made[at], 0)
+        at = self._place(key)
+        held = self.keys[at]
+        found = held == key
+        rank, made = np.where(found, self.rank[at], NONE), np.where(found, self.made[at], 0)
+        more = np.flatnonzero(~found & (held != -1))
+        for k in range(1, self.probes):
+            if not len(more):
+                break
+            at = (self._place(key[more]) + k) & (len(self.keys) - 1)
+            found = self.keys[at] == key[more]
+            rank[more[found]], made[more[found]] = self.rank[at[found]], self.made[at[found]]
+            more = more[~found & (self.keys[at] != -1)]
+        return rank, made
 
     def merge_rounds(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of each non-empty word."""
@@ -234,22 +267,27 @@ class PieceBpe:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         parts = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        cache = self.cache
-        new = list(set(chain.from_iterable(parts)).difference(cache))
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list(set(chain.from_iterable(parts)))
-        step, chars, block = [], 0, []
+        get = self.cache.get
+        found = [list(map(get, p)) for p in parts]
+        lacking = [k for k, f in enumerate(found) if None in f]
+        if lacking:
+            self._learn({w for k in lacking for w, f in zip(parts[k], found[k], strict=True) if f is None})
+            for k in lacking:
+                found[k] = [self.cache[w] if f is None else f for w, f in zip(parts[k], found[k], strict=True)]
+        return [list(chain.from_iterable(f)) for f in found]
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.cache) + len(new) > CACHE_WORDS:
+            self.cache.clear()
+        chars, block = 0, []
         for w in new:  # blocks of a bounded number of symbols
             block.append(w)
             chars += len(w)
-            if chars > 500_000:
-                step.append(block)
-                block, chars = [], 0
-        for block in [*step, block]:
-            if block:
-                cache.update(zip(block, self.merge_rounds(block), strict=True))
-        return [list(chain.from_iterable(map(cache.__getitem__, p))) for p in parts]
+            if chars > 200_000:
+                self.cache.update(zip(block, self.merge_rounds(block), strict=True))
+                chars, block = 0, []
+        if block:
+            self.cache.update(zip(block, self.merge_rounds(block), strict=True))
 
     # -- decoding
 
