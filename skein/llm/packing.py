@@ -46,8 +46,8 @@ def pack(df: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int
             doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in _slices(texts):
                 rows: list[tuple] = []
-                for doc_id, ids in zip(doc_ids[i:j], bpe.encode(texts[i:j]), strict=True):
-                    ids += end
+                for doc_id, text in zip(doc_ids[i:j], texts[i:j], strict=True):
+                    ids = bpe.encode(text).tobytes() + end
                     n, at = len(ids) // 4, 0
                     for length in binary_lengths(n, max_tokens):
                         rows.append((doc_id, at, length, ids[4 * at : 4 * (at + length)], n))

@@ -47,7 +47,7 @@ def count_batch(bpe, texts: list[str]) -> np.ndarray:
     docs, words, total = [], [], np.zeros(len(texts), dtype=np.int64)
     for d, text in enumerate(texts):
         if bpe.whole.search(text):
-            total[d] = len(bpe.encode_whole(text))
+            total[d] = len(bpe.encode(text))
             continue
         for part in text_slices(text):
             found = [index.setdefault(p, len(index)) for p in bpe.pieces(part)]
