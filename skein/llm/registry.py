@@ -27,6 +27,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.pii import find_digests
+
+    return find_digests(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.token_counts import token_counts
 
@@ -39,6 +45,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digests(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), max_tokens=2048, end_id=1)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.fingerprints import compare_with_next
+
+    return compare_with_next(documents(spark, sf_dir))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.simhash import near_duplicates
 
@@ -48,8 +60,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_pii": op3_pii,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
+    "op7_fingerprints": op7_fingerprints,
     "op10_simhash": op10_simhash,
 }
 
