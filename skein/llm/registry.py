@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skein.llm.common import documents
+from skein.llm.common import documents, held_out
 
 
 def vocabulary(name: str) -> str:
@@ -45,12 +46,34 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digests(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), max_tokens=2048, end_id=1)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.quality import GOOD, fit, score
+
+    docs = documents(spark, sf_dir)
+    scored = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.fingerprints import compare_with_next
 
     return compare_with_next(documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.toxicity import fit, score
+
+    docs = documents(spark, sf_dir)
+    scored = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("offending").cast("long").alias("n_offending"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.simhash import near_duplicates
 
@@ -63,7 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
+    "op6_quality": op6_quality,
     "op7_fingerprints": op7_fingerprints,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
 
