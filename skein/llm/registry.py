@@ -60,6 +60,12 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(documents(spark, sf_dir))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.html_text import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.toxicity import fit, score
 
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op7_fingerprints": op7_fingerprints,
+    "op8_html_text": op8_html_text,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
