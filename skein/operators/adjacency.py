@@ -33,8 +33,7 @@ def nonempty(adj: DataFrame) -> DataFrame:
 
 
 def list_length(nbrs: str | Column = "nbrs") -> Column:
-    n = F.size(nbrs).cast("long")
-    return F.when(n < 0, F.lit(0).cast("long")).otherwise(n)
+    return F.coalesce(F.greatest(F.size(nbrs), F.lit(0)), F.lit(0)).cast("long")  # a null list is empty
 
 
 def neighbour(nbrs: str | Column, i: int | Column) -> Column:

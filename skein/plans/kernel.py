@@ -71,4 +71,5 @@ def aggregate(df: DataFrame, scope: AttributeScope, init: Callable[[], float], u
         return rows.select(F.col("part").alias("partition"), "value")
     if scope is AttributeScope.KEY:
         return rows.groupBy("key").applyInArrow(merged, schema).select("key", "value")
-    return rows.groupBy(F.lit(0)).applyInArrow(lambda t: merged(t), schema).select("value")
+    # One row of partial results for each task.
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(merged, schema).select("value")
