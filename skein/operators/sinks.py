@@ -50,7 +50,7 @@ def triangle_batches(edges: DataFrame, batches: int) -> Iterator[DataFrame]:
     for k in range(batches):
         rows = adjacency(batch_of(edges, batches, k)).select("src", "nbrs", F.posexplode("nbrs").alias("p", "y")).filter("p > 0")
         rows = rows.select(F.col("src").alias("a"), F.col("y").alias("b"), F.slice("nbrs", F.lit(1), F.col("p")).alias("rest"))
-        yield rows.join(far, rekeyed("b") == F.col("k")).select("a", "b", F.explode(F.array_intersect("rest", "far")).alias("c"))
+        yield rows.join(far, rekeyed("b") == F.col("k")).select("a", "b", F.explode_outer(F.array_intersect("rest", "far")).alias("c")).filter("c IS NOT NULL")
 
 
 def batch_counts(edges: DataFrame, batches: int) -> DataFrame:

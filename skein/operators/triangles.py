@@ -63,18 +63,19 @@ def _common(edges: DataFrame, orientation: Orientation, partitions: int | None =
     p-th entry lies before it (by id, larger first) or behind it (by degree, lower
     first), and only that part of the list travels with the edge.
     """
+    # A partition's edges are few bytes but expand to many rows: they are dealt out by number,
+    # which adaptive execution doesn't coalesce by size.
+    deal = lambda e: e.repartition(partitions or parallelism(edges), "src")
     if orientation is Orientation.ID:
-        adj = adjacency(edges)
+        adj = adjacency(deal(edges))
         rows = adj.select("src", "nbrs", F.posexplode("nbrs").alias("p", "y")).filter("p > 0")
         rows = rows.select(F.col("src").alias("x"), "y", F.slice("nbrs", F.lit(1), F.col("p")).alias("rest"))
     else:
-        ranked = oriented_by_degree(edges)
+        ranked = deal(oriented_by_degree(edges))
         lists = ranked.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst_deg", "dst"))).alias("l"))
         adj = lists.select("src", F.col("l.dst").alias("nbrs"))
         rows = adj.select("src", "nbrs", F.posexplode("nbrs").alias("p", "y")).filter(F.col("p") + 1 < F.size("nbrs"))
         rows = rows.select(F.col("src").alias("x"), "y", F.slice("nbrs", F.col("p") + 2, F.size("nbrs") - F.col("p") - 1).alias("rest"))
-    if partitions:
-        rows = rows.repartition(partitions, rekeyed("y"))
     other = adj.select(rekeyed("src").alias("k"), F.col("nbrs").alias("far"))
     return rows.join(other, rekeyed("y") == F.col("k")).select("x", "y", F.array_intersect("rest", "far").alias("common"))
 
@@ -85,7 +86,8 @@ def _sorted_triple(x: Column, y: Column, z: Column) -> list[Column]:
 
 
 def _by_intersection(edges: DataFrame, orientation: Orientation, partitions: int | None) -> DataFrame:
-    rows = _common(edges, orientation, partitions).select("x", "y", F.explode("common").alias("z"))
+    # explode() would add a filter on the array's size, and with it a second intersection.
+    rows = _common(edges, orientation, partitions).select("x", "y", F.explode_outer("common").alias("z")).filter("z IS NOT NULL")
     if orientation is Orientation.ID:
         return rows.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("z").alias("c"))
     return rows.select(*_sorted_triple(F.col("x"), F.col("y"), F.col("z")))
@@ -183,12 +185,12 @@ def triangles_in_range(edges: DataFrame, a_low: int, a_high: int, c_low: int, c_
     mid = lists(last)
     rows = first.join(ends.select(rekeyed("src").alias("k1"), F.col("nbrs").alias("near")), rekeyed("src") == F.col("k1"))
     rows = rows.join(mid.select(rekeyed("src").alias("k2"), F.col("nbrs").alias("far")), rekeyed("dst") == F.col("k2"))
-    return rows.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.explode(F.array_intersect("near", "far")).alias("c"))
+    return rows.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.explode_outer(F.array_intersect("near", "far")).alias("c")).filter("c IS NOT NULL")
 
 
 def edge_intersection(edges: DataFrame) -> DataFrame:
     """a, b, n_common for every edge: common out-neighbours of its ends, zeros included."""
-    adj = adjacency(edges)
+    adj = adjacency(edges.repartition(parallelism(edges), "src"))
     pairs = adj.select("src", "nbrs", F.explode("nbrs").alias("dst"))
     other = adj.select(rekeyed("src").alias("k"), F.col("nbrs").alias("far"))
     n = F.coalesce(F.size(F.array_intersect("nbrs", "far")).cast("long"), F.lit(0).cast("long"))

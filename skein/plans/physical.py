@@ -14,9 +14,11 @@ def rekeyed(column: str | Column) -> Column:
     A side that was aggregated by a key is already dealt out by it, and a join on the
     key would reuse that; adaptive execution can then not split the other side's rows
     of a very frequent key. With the key written anew both sides are dealt out for the
-    join itself.
+    join itself. Keys of edges are never null; saying so here keeps null filters out of
+    one of two otherwise equal plans, so that these share their shuffles.
     """
-    return (F.col(column) if isinstance(column, str) else column).bitwiseXOR(F.lit(0x2545F4914F6CDD1D))
+    key = (F.col(column) if isinstance(column, str) else column).bitwiseXOR(F.lit(0x2545F4914F6CDD1D))
+    return F.coalesce(key, F.lit(0).cast("long"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -42,10 +42,11 @@ def _pairs(rows: DataFrame, vertex: str, *group: str) -> DataFrame:
     Repeats go before the self-join, which meets each unordered pair once; all pairs of
     a group are the definition of such a graph.
     """
-    one = rows.select(*group, F.col(vertex).cast("long").alias("src")).distinct()
-    two = one.withColumnRenamed("src", "dst")
-    on = list(group)
-    return one.join(two, on).filter("src > dst").select("src", "dst").distinct()
+    once = rows.select(*group, F.col(vertex).cast("long").alias("v")).distinct()
+    x, y = once.alias("x"), once.alias("y")  # one plan, so its shuffle is made once
+    same = [F.col(f"x.{g}") == F.col(f"y.{g}") for g in group]
+    pairs = x.join(y, [*same, F.col("x.v") > F.col("y.v")])
+    return pairs.select(F.col("x.v").alias("src"), F.col("y.v").alias("dst")).distinct()
 
 
 def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
