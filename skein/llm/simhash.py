@@ -15,8 +15,8 @@
    task's unit of its own, so a bucket with a large share of all rows is dealt out
    over the cluster and memory stays bounded. Units hand on a spanning forest of their
    links (fewer links than fingerprints), not all pairs.
-5. Components of these links: each round every node takes the smallest label of its
-   neighbourhood, with pointer jumping (label of the label), until nothing changes.
+5. Components of these links: rounds of hooking to smaller labels and pointer jumping,
+   until nothing changes.
 
 Results for special inputs: a null text counts as empty. A text without words has
 fingerprint zero, which is linked like any other. A null doc_id takes part, and
@@ -304,25 +304,39 @@ def _anew(name: str) -> Column:
     return F.col(name).bitwiseXOR(F.lit(0x5851F42D4C957F2D))
 
 
+def _anonymous(df: DataFrame) -> DataFrame:
+    """The same rows as new columns.
+
+    A checkpoint keeps what the optimiser has inferred about its columns; in a loop of
+    joins that grows with every round. New columns have no such past.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """fp, label: for every node fp with a value `low` (null last), the smallest low reachable over edges a, b.
 
-    Each round a node takes the smallest of its own label, its neighbours' and its
-    parent's. Labels are the nodes' ranks (low, then fp), so they are total and a label
-    names a node whose own label can be looked up.
+    Labels are nodes' ranks (low, then fp), so they are total, and a label names the node
+    it began with. In each round every edge offers one end's label to the other end and to
+    the node that the other end's label names; each node takes the smallest offer, then the
+    label of the node that its own label names. Hooking whole trees this way, not only the
+    nodes at their edges, needs about the logarithm of a chain's length in rounds.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))))
+    both = checkpointed(_anonymous(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))))
     start = nodes.join(both.select(F.col("a").alias("fp")).distinct(), "fp", "left_semi")
     rank = F.struct(F.col("low").isNull().alias("none"), F.col("low"), F.col("fp").alias("node"))
-    now = checkpointed(start.select("fp", rank.alias("label")))
+    now = checkpointed(_anonymous(start.select("fp", rank.alias("label"))))
     while True:
-        seen = both.join(now.withColumnRenamed("fp", "b"), "b").select(F.col("a").alias("fp"), "label")
-        low = now.union(seen).groupBy("fp").agg(F.min("label").alias("label"))
+        far = now.select(_anew("fp").alias("kb"), F.col("label").alias("offer"))
+        near = now.select(_anew("fp").alias("ka"), F.col("label").alias("own"))
+        met = both.join(far, _anew("b") == F.col("kb")).join(near, _anew("a") == F.col("ka")).filter("offer < own")
+        offers = met.select(F.inline(F.array(F.struct(F.col("a").alias("fp"), F.col("offer").alias("label")), F.struct(F.col("own.node").alias("fp"), F.col("offer").alias("label")))))
+        low = now.union(offers).groupBy("fp").agg(F.min("label").alias("label"))
         up = low.select(_anew("fp").alias("parent"), F.col("label").alias("top"))
-        jumped = low.join(up, _anew("label.node") == up["parent"]).select("fp", F.least("label", "top").alias("label"))
-        after = checkpointed(jumped)
-        changed = after.join(now.withColumnRenamed("label", "was"), "fp").filter("label <> was")
-        if changed.isEmpty():
+        jumped = low.join(up, _anew("label.node") == F.col("parent")).select("fp", F.least("label", "top").alias("label"))
+        after = checkpointed(_anonymous(jumped))
+        was = now.select(_anew("fp").alias("kw"), F.col("label").alias("was"))
+        if after.join(was, _anew("fp") == F.col("kw")).filter("label <> was").isEmpty():
             return after.select("fp", F.col("label.low").alias("label"))
         now = after
 
