@@ -33,6 +33,11 @@ def spark(tmp_path_factory):
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="session")
+def sf():
+    return SF
+
+
 @pytest.fixture(scope="session")
 def duck():
     """The driver's tables at the smallest scale, as DuckDB views."""

@@ -1,7 +1,6 @@
 """Every query of the graph engine against DuckDB on the driver's tables."""
 
 import pytest
-from conftest import SF
 
 from skein.queries import ORACLE_SQL, QUERIES
 
@@ -13,8 +12,8 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_equals_duckdb(spark, duck, name):
-    df = QUERIES[name](spark, SF)
+def test_equals_duckdb(spark, duck, sf, name):
+    df = QUERIES[name](spark, sf)
     cols = sorted(df.columns)
     want = duck.sql(ORACLE_SQL[name])
     assert sorted(want.columns) == cols
@@ -22,11 +21,11 @@ def test_equals_duckdb(spark, duck, name):
     assert sorted(map(tuple, df.select(*cols).collect()), key=repr) == sorted(want.select(*cols).fetchall(), key=repr)
 
 
-def test_golden_sizes(spark):
-    assert QUERIES["triangles_list"](spark, SF).count() == 125_968
-    assert QUERIES["edges_part"](spark, SF).count() == 8_899
-    assert QUERIES["triangles_list_supp"](spark, SF).count() == 120
-    assert QUERIES["triangles_list_nation"](spark, SF).count() == 795
+def test_golden_sizes(spark, sf):
+    assert QUERIES["triangles_list"](spark, sf).count() == 125_968
+    assert QUERIES["edges_part"](spark, sf).count() == 8_899
+    assert QUERIES["triangles_list_supp"](spark, sf).count() == 120
+    assert QUERIES["triangles_list_nation"](spark, sf).count() == 795
 
 
 def test_entry(spark):
