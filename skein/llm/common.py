@@ -55,13 +55,19 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
+#: Ids of dropped rows (8 bytes each) that may be broadcast; more meet the documents in a shuffle.
+FEW_IDS = 2_000_000
+
+
 def without(df: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
     """df's rows whose id is not in the one-column frame dropped; rows with a null id stay.
 
-    Only the ids of dropped rows move, so the side to ship is small and adaptive
-    execution broadcasts it when its measured size allows.
+    The ids are counted first. Up to FEW_IDS of them are broadcast, so the documents
+    don't move; beyond, ids and documents are shuffled.
     """
-    gone = dropped.toDF("__gone")
+    gone = checkpointed(dropped.toDF("__gone"))
+    if gone.limit(FEW_IDS + 1).count() <= FEW_IDS:
+        gone = F.broadcast(gone)
     return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
 
 
