@@ -2,9 +2,11 @@
 
 1. Every text gets a 64-bit fingerprint: bit b is set if it is set in over half of its
    word shingles' XXH64 hashes. Equal fingerprints are one node from here on.
-2. Candidates: two fingerprints at most `radius` bits apart agree on at least two of
-   radius + 2 bands of their bits, so every pair of bands is a table whose key is
-   those bits: 15 tables with keys of about 21 bits for radius 4. No link is lost.
+2. Candidates: two fingerprints at most `radius` bits apart agree on at least k of
+   radius + k bands of their bits, so every choice of k bands is a table whose key is
+   those bits. For radius 4: 5 tables of 13 bits, 15 of 21, 35 of 27 and so on; the
+   number of fingerprints decides, so that evenly filled buckets stay small. Every
+   choice finds every link.
 3. In every bucket (table and key) all pairs are compared bit-sliced: the buckets'
    fingerprints lie side by side as vertical bit planes, one lane each; a shifted copy
    of the planes holds every lane's partner at that distance, and carry-save counters
@@ -44,6 +46,8 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = re.compile("[^\x20\x09-\x0d]+")
 #: Fingerprints of a bucket that one unit compares with each other or with another block's.
 BLOCK = 2048
+#: Fingerprints of a bucket on average, which sets the length of keys.
+MEAN_BUCKET = 256
 #: Large buckets that may be broadcast; more are joined by a shuffle.
 FEW_BUCKETS = 10_000
 #: Lanes that a task holds at once.
@@ -221,22 +225,38 @@ def unit_links(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int =
     return fp[own], fp[root[own]]
 
 
-def band_tables(radius: int = RADIUS) -> list[int]:
-    """Masks of the tables: each pair of radius + 2 bands."""
-    edges = [BITS * k // (radius + 2) for k in range(radius + 3)]
+def band_tables(radius: int = RADIUS, agree: int = 2) -> list[int]:
+    """Masks of the tables: each choice of `agree` among radius + agree bands.
+
+    At most radius bands hold differing bits, so at least `agree` bands are equal.
+    """
+    n = radius + agree
+    edges = [BITS * k // n for k in range(n + 1)]
     bands = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:], strict=False)]
-    return [a | b for a, b in combinations(bands, 2)]
+    return [sum(some) for some in combinations(bands, agree)]
+
+
+def bands_for(nodes: int, radius: int = RADIUS, bucket: int = MEAN_BUCKET) -> int:
+    """How many bands form a key, so that buckets of so many evenly spread fingerprints stay small.
+
+    More bands give more tables but longer keys; all choices find every pair.
+    """
+    for agree in range(1, BITS - radius):
+        if nodes >> (BITS * agree // (radius + agree)) <= bucket:
+            return agree
+    return BITS - radius
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK, agree: int | None = None) -> DataFrame:
     """a, b: links between the distinct fingerprints fp of nodes that connect all fingerprints within radius."""
     if not 0 < radius < 16:
         raise ValueError("radius must be from 1 to 15")
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(band_tables(radius))])
+    masks = band_tables(radius, agree or bands_for(nodes.count(), radius))
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
     rows = nodes.select("fp", F.inline(tables))
     # Blocks: how many a bucket needs is known from its size; a row's own follows from its hash.
     large = rows.groupBy("t", "key").count().filter(F.col("count") > block)

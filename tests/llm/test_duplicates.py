@@ -131,6 +131,38 @@ def test_near_duplicates(make, odd, block):
     assert len({c for _, _, c in want}) < len({f for _, f, _ in want})
 
 
+@pytest.mark.parametrize("agree", [1, 2, 3])
+def test_every_number_of_bands_gives_the_same_components(spark, agree):
+    r = random.Random(9)
+    fps = set()
+    for _ in range(60):
+        centre = r.getrandbits(64)
+        fps |= {centre ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 3))) for _ in range(20)}
+    nodes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, k) for k, x in enumerate(sorted(fps))], "fp long, low long")
+    got = {r["fp"] % (1 << 64): r["label"] for r in simhash.components(nodes, simhash.links(nodes.select("fp"), block=16, agree=agree)).collect()}
+    arr = np.array(sorted(fps), dtype=np.uint64)
+    for k, x in enumerate(arr):
+        for j in np.flatnonzero(np.bitwise_count(arr ^ x) <= 4):
+            if j != k:
+                assert got[int(x)] == got[int(arr[j])]
+    assert len({got.get(int(x), -1 - k) for k, x in enumerate(arr)}) == components_of(arr)
+
+
+def components_of(arr):
+    up = list(range(len(arr)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for k in range(len(arr)):
+        for j in np.flatnonzero(np.bitwise_count(arr ^ arr[k]) <= 4):
+            a, b = root(k), root(int(j))
+            up[max(a, b)] = min(a, b)
+    return len({root(k) for k in range(len(arr))})
+
+
 def test_near_duplicates_of_the_driver_table(make, sample):
     assert Counter(map(tuple, simhash.near_duplicates(make(sample)).collect())) == simhash_brute(sample)
     assert simhash.near_duplicates(make([])).count() == 0
@@ -174,12 +206,14 @@ def test_bit_sliced_links_equal_brute_force():
 
 
 def test_bands_miss_no_pair():
-    tables = simhash.band_tables(4)
     r = random.Random(2)
-    assert len(tables) == 15
-    for _ in range(3000):
-        diff = sum(1 << b for b in r.sample(range(64), 4))
-        assert any(diff & m == 0 for m in tables)
+    for agree, n in ((1, 5), (2, 15), (3, 35)):
+        tables = simhash.band_tables(4, agree)
+        assert len(tables) == n
+        for _ in range(2000):
+            diff = sum(1 << b for b in r.sample(range(64), 4))
+            assert any(diff & m == 0 for m in tables)
+    assert [simhash.bands_for(n) for n in (0, 10_000, 1 << 20, 1 << 29, 1 << 30, 1 << 36)] == [1, 1, 1, 2, 3, 4]
 
 
 def test_chains_become_one_component(spark):
