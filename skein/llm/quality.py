@@ -2,7 +2,8 @@
 
 A text is cut into blocks of BLOCK bytes. Each block is compressed with a dictionary
 built from good text and with one built from bad text; small blocks make the dictionary
-count throughout a long text. The difference of the two sums over their sum, with the
+count throughout a long text. The difference of the two sums over their sum, also
+saturated (a large difference says little more than a moderate one), with the
 compressed size for each byte (very repetitive text is small under either dictionary),
 goes through a logistic calibration fitted on other labelled documents than the
 dictionaries were built from. Labels, language, source and id are no inputs of a score.
@@ -34,6 +35,7 @@ from skein.llm.common import bounded_batches, id_and_text, labelled_sample
 
 SAMPLE_DOCS, SAMPLE_BLOCKS = 2500, 6
 BLOCK, DICTIONARY, LEVEL = 1024, 112 << 10, 3
+MEASURES = 5
 SMOOTH = 40  # bytes added to sizes, so that very short texts differ little
 GOOD = 0.3
 
@@ -58,7 +60,7 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 
 def measures(text: str, bad: bytes, good: bytes) -> list[float]:
-    """Normalised difference of compressed sizes, compressed size for each byte (logarithm), and its square."""
+    """Normalised difference of compressed sizes, compressed size for each byte (logarithm) and its square, and the difference saturated at two scales."""
     raw = text.encode()
     squeeze_bad, squeeze_good = _compressor(bad).compress, _compressor(good).compress
     a = b = 0
@@ -66,7 +68,8 @@ def measures(text: str, bad: bytes, good: bytes) -> list[float]:
         a += len(squeeze_bad(x))
         b += len(squeeze_good(x))
     ratio = float(np.log((a + b + SMOOTH) / (2 * len(raw) + SMOOTH)))
-    return [10.0 * (a - b) / (a + b) if raw else 0.0, ratio, ratio * ratio]
+    difference = 10.0 * (a - b) / (a + b) if raw else 0.0
+    return [difference, ratio, ratio * ratio, float(np.tanh(difference)), float(np.tanh(4 * difference))]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, rounds: int = 60) -> list[float]:
@@ -108,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bounded_batches(docs.sparkSession)
     sample, sizes = labelled_sample(id_and_text(docs, id_col, text_col), labels, "quality", SAMPLE_DOCS)
     share = sizes.get(1, 0) / max(1, sum(sizes.values())) if sizes else 0.5
-    constant = QualityModel(b"", b"", (float(np.log((share + 1e-3) / (1 - share + 1e-3))), 0.0, 0.0, 0.0))
+    constant = QualityModel(b"", b"", (float(np.log((share + 1e-3) / (1 - share + 1e-3))), *[0.0] * MEASURES))
 
     def cut(batches):
         for b in batches:
@@ -130,11 +133,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def measure(batches):
         for b in batches:
-            rows = np.array([measures(t, bad, good) for t in b.column(0).to_pylist()]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(rows[:, i]) for i in range(3))], ["label", "m0", "m1", "m2"])
+            rows = np.array([measures(t, bad, good) for t in b.column(0).to_pylist()]).reshape(-1, MEASURES)
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(rows[:, i]) for i in range(MEASURES))], ["label", *names])
 
-    got = sample.filter("half = 1").select("text", "label").mapInArrow(measure, "label int, m0 double, m1 double, m2 double").collect()
-    table = np.array(sorted(map(tuple, got)), dtype=float).reshape(-1, 4)
+    names = [f"m{i}" for i in range(MEASURES)]
+    got = sample.filter("half = 1").select("text", "label").mapInArrow(measure, ", ".join(["label int", *(f"{n} double" for n in names)])).collect()
+    table = np.array(sorted(map(tuple, got)), dtype=float).reshape(-1, 1 + MEASURES)
     y = table[:, 0]
     if not 0 < y.sum() < len(y):
         return constant
