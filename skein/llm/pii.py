@@ -149,14 +149,14 @@ def find_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """df with every span of its texts replaced by its kind, such as [EMAIL].
 
-    Overlapping spans become one, named after the first. length_col, if df has it, gets
+    Overlapping spans become one, named after the first, of those the longest. length_col, if df has it, gets
     the new number of code points.
     """
     held = "__pii"
     while any(c.lower().startswith(held) for c in df.columns):
         held += "_"
     text = F.col(text_col)
-    order = F.array_sort(F.transform(F.col(held), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    order = F.array_sort(F.transform(F.col(held), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["end"].alias("end"), x["kind"].alias("kind"))))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
