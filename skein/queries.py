@@ -46,6 +46,10 @@ def _raw_part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.join(two, "l_orderkey").select("src", "dst")
 
 
+def _closed(edges: DataFrame) -> DataFrame:
+    return tri.closed(tri.wedges(edges), edges)
+
+
 def _batches_union(edges: DataFrame) -> DataFrame:
     out = None
     for part in sinks.triangle_batches(edges, 4):
@@ -144,8 +148,8 @@ QUERIES: dict[str, Query] = {
     "degree_orientation": _on_part(lambda e: prepare.oriented(e, Orientation.DEGREE)),
     "row_range": _on_part(lambda e: prepare.in_range(prepare.in_range(e, "src", 500, 900), "dst", None, 400)),
     "wedges_count": _on_part(tri.wedge_count),
-    "wedges_range": _on_part(lambda e: tri.wedges(prepare.in_range(e, "src", 0, 120), e)),
-    "closed_wedges": _on_part(lambda e: tri.closed(tri.wedges(prepare.in_range(e, "src", 0, 200), e), e)),
+    "wedges_list": lambda s, d: tri.wedges(DERIVED["supp"](s, d)),
+    "closed_wedges": lambda s, d: _closed(DERIVED["supp"](s, d)),
     "edge_intersection": _on_part(tri.edge_intersection),
     "bitmap_support": _on_part(tri.bitmap_support),
     "triangles_list": flagship,
@@ -210,8 +214,8 @@ ORACLE_SQL: dict[str, str] = {
     "degree_orientation": _sql("SELECT CASE WHEN (p.n, p.v) < (q.n, q.v) THEN p.v ELSE q.v END AS src, CASE WHEN (p.n, p.v) < (q.n, q.v) THEN q.v ELSE p.v END AS dst FROM e JOIN d p ON e.src = p.v JOIN d q ON e.dst = q.v").replace(") SELECT CASE", "), d AS (SELECT v, count(*) AS n FROM (SELECT src AS v FROM e UNION ALL SELECT dst FROM e) GROUP BY v) SELECT CASE", 1),
     "row_range": _sql("SELECT src, dst FROM e WHERE src BETWEEN 500 AND 900 AND dst <= 400"),
     "wedges_count": _sql("SELECT count(*) AS n FROM e e1 JOIN e e2 ON e1.dst = e2.src"),
-    "wedges_range": _sql("SELECT e1.src AS a, e1.dst AS b, e2.dst AS c FROM e e1 JOIN e e2 ON e1.dst = e2.src WHERE e1.src <= 120"),
-    "closed_wedges": _sql(f"{_TRIANGLES} WHERE e1.src <= 200"),
+    "wedges_list": _sql("SELECT e1.src AS a, e1.dst AS b, e2.dst AS c FROM e e1 JOIN e e2 ON e1.dst = e2.src", "supp"),
+    "closed_wedges": _sql(_TRIANGLES, "supp"),
     "edge_intersection": _sql(_INTERSECTION),
     "bitmap_support": _sql(_INTERSECTION),
     **{f"triangles_{x}": _sql(_TRIANGLES) for x in ("list", "list_join", "list_semi", "list_arrow", "list_arrow_balanced", "list_by_degree", "auto", "batches")},
