@@ -32,7 +32,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Signed hashes below this are the lowest 1 / SCALE of the range.
 BELOW = -(1 << 63) + (1 << 64) // SCALE
 #: Bins of the ids; documents in a bucket, unless that made more than MOST_BUCKETS (which bounds a broadcast).
-BINS, BUCKET_ROWS, MOST_BUCKETS = 256, 512, 1_000_000
+BINS, BUCKET_ROWS, MOST_BUCKETS = 256, 128, 1_000_000
 
 
 def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
