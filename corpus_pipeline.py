@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next one's docs. All but the last return the columns of
 documents. Stages accept nulls in any column, repeated rows, extra columns and empty
-tables as the operators they call do; a row with a null doc_id passes the duplicate
-stages unless its text is dropped by another's rule, since no decision can name it.
+tables as the operators they call do; the duplicate stages decide by row, so repeated
+and null ids neither lose other texts nor keep copies.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, the longest original with the smallest id."""
+    """Of documents with equal texts, the longest original with the smallest id; one row of each group."""
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest id."""
+    """Of each component of near duplicates, the document with the smallest id; one row of each component."""
     return drop_near_duplicates(docs)
 
 

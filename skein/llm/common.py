@@ -47,14 +47,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns an operator needs, under fixed names; a null text is empty."""
+def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """Only the two columns an operator needs, under fixed names, and row if asked for; a null text is empty."""
     return df.select(
         df[id_col].cast("long").alias("doc_id"),
         F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"),
+        *([df[row_col].alias("row")] if row_col else []),
     )
 
 
+def keyed(df: DataFrame) -> tuple[DataFrame, str]:
+    """df with a number for each row, and the name of that column.
+
+    Ids may repeat or be null; a decision about one row needs a name of its own. The rows
+    are checkpointed with their numbers, so that every later step sees the same ones.
+    """
+    key = "__row"
+    while any(c.lower() == key for c in df.columns):
+        key += "_"
+    return checkpointed(df.withColumn(key, F.monotonically_increasing_id())), key
+
+
 #: Ids of dropped rows (8 bytes each) that may be broadcast; more meet the documents in a shuffle.
 FEW_IDS = 2_000_000
 

@@ -12,7 +12,8 @@ recipes, 16 bytes for about 4 KB of text.
 Results for special inputs: a null text counts as empty, and all empty texts are
 equal. A null doc_id ranks after every other. Of equal texts the row with the most
 code points stays, then the smallest doc_id; rows that repeat the staying row's
-doc_id and length can't be told apart from it and are marked kept as well. An empty
+doc_id and length can't be told apart from it and are marked kept as well; the filter
+drop_exact_duplicates() numbers the rows and keeps exactly one of each group. An empty
 table gives an empty table. Extra columns are ignored. Long texts are cut whole.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import WHITE, bounded_batches, checkpointed, id_and_text, without
+from skein.llm.common import WHITE, bounded_batches, checkpointed, id_and_text, keyed, without
 
 WHITE_BYTES = WHITE.encode()
 #: Chunk sizes in bytes: no cut before LEAST, a forced one at MOST, and about MEAN on top of LEAST between.
@@ -81,7 +82,8 @@ def _identifier(chunk: bytes, width: int) -> bytes:
 
 
 def recipes(docs: DataFrame, width: int = 16) -> DataFrame:
-    """doc_id, n (code points of the original text), digest (SHA-256 of the text without white space), recipe."""
+    """doc_id, n (code points of the original text), digest (SHA-256 of the text without white space), recipe, and row if docs has it."""
+    extra = docs.columns[2:]
 
     def run(batches):
         for b in batches:
@@ -92,9 +94,10 @@ def recipes(docs: DataFrame, width: int = 16) -> DataFrame:
                 n.append(len(raw))
                 digest.append(hashlib.sha256(text).digest())
                 recipe.append(b"".join(_identifier(c, width) for c in chunks_of(text)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(recipe, pa.binary())], ["doc_id", "n", "digest", "recipe"])
+            own = [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(recipe, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *own, *b.columns[2:]], ["doc_id", "n", "digest", "recipe", *extra])
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, recipe binary")
+    return docs.mapInArrow(run, ", ".join(["doc_id long, n long, digest binary, recipe binary", *(f"{c} long" for c in extra)]))
 
 
 def distinct_chunks(docs: DataFrame, width: int = 16) -> DataFrame:
@@ -113,15 +116,19 @@ def verified(docs: DataFrame, width: int = 16) -> bool:
     return distinct_chunks(docs, width).groupBy("id").count().filter("count > 1").isEmpty()
 
 
-def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 16) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    bounded_batches(df.sparkSession)
-    docs = id_and_text(df, id_col, text_col)
+def _verified_recipes(docs: DataFrame, width: int) -> DataFrame:
+    """recipes() with identifiers wide enough that each stands for one content, checkpointed."""
+    bounded_batches(docs.sparkSession)
     while not verified(docs, width):
         if width == 64:
             raise ValueError("two different chunks have the same 512-bit digest")
         width = min(64, 2 * width)
-    rows = checkpointed(recipes(docs, width))
+    return checkpointed(recipes(docs, width))
+
+
+def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 16) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    rows = _verified_recipes(id_and_text(df, id_col, text_col), width)
     best = F.max(F.struct(F.col("n"), (-F.col("doc_id")).alias("order"), F.col("doc_id"))).alias("best")
     groups = rows.groupBy("recipe").agg(best, F.count(F.lit(1)).alias("group_size"))
     # The key is written anew on either side, so both are dealt out for the join itself and
@@ -138,7 +145,14 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows, all columns, without those that exact_duplicates() doesn't keep; rows with a null id stay."""
-    gone = exact_duplicates(df, id_col, text_col).filter("not kept").select("doc_id")
-    return without(df, id_col, gone)
+def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 16) -> DataFrame:
+    """df's rows, all columns, with one row of each group of equal texts.
+
+    That is the row with the most code points, then the smallest id (null last); of rows
+    that repeat both, the first by row number.
+    """
+    numbered, key = keyed(df)
+    rows = _verified_recipes(id_and_text(numbered, id_col, text_col, key), width)
+    best = F.max(F.struct(F.col("n"), (-F.col("doc_id")).alias("order"), (-F.col("row")).alias("first"), F.col("row"))).alias("best")
+    kept = rows.groupBy("recipe").agg(best).select(F.col("best.row").alias("keep"))
+    return without(numbered, key, rows.join(kept, F.col("row") == F.col("keep"), "left_anti").select("row")).drop(key)

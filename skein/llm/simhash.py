@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded_batches, checkpointed, id_and_text, without
+from skein.llm.common import bounded_batches, checkpointed, id_and_text, keyed, without
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Fixed: A to Z in lower case, other characters as they are.
@@ -83,16 +83,17 @@ def fingerprint(text: str, shingle: int = SHINGLE, slice_size: int = 1 << 15) ->
     return int(sum(1 << b for b in np.flatnonzero(2 * total > n).tolist()))
 
 
-def fingerprints(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
+def fingerprints(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, fp: the fingerprint as a signed long; and row, if row_col names a column of row numbers."""
     bounded_batches(df.sparkSession)
+    extra = ["row"] if row_col else []
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *extra])
 
-    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(df, id_col, text_col, row_col).mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} long" for c in extra)]))
 
 
 # -- bit-sliced comparison
@@ -334,7 +335,7 @@ def _anonymous(df: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """fp, label: for every node fp with a value `low` (null last), the smallest low reachable over edges a, b.
+    """fp, label, node: for every node fp with a value `low` (null last), the smallest low reachable over edges a, b, and the node that has it.
 
     Labels are nodes' ranks (low, then fp), so they are total, and a label names the node
     it began with. In each round every edge offers one end's label to the other end and to
@@ -357,7 +358,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         after = checkpointed(_anonymous(jumped))
         was = now.select(_anew("fp").alias("kw"), F.col("label").alias("was"))
         if after.join(was, _anew("fp") == F.col("kw")).filter("label <> was").isEmpty():
-            return after.select("fp", F.col("label.low").alias("label"))
+            return after.select("fp", F.col("label.low").alias("label"), "label.node")
         now = after
 
 
@@ -366,11 +367,20 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE,
     docs = checkpointed(fingerprints(df, shingle, id_col, text_col))
     nodes = checkpointed(docs.groupBy("fp").agg(F.min("doc_id").alias("low")))
     label = components(nodes, links(nodes.select("fp"), radius, block))
-    known = nodes.join(label, "fp", "left").select(_anew("fp").alias("node"), F.coalesce("label", "low").alias("component_id"))
+    known = nodes.join(label.drop("node"), "fp", "left").select(_anew("fp").alias("node"), F.coalesce("label", "low").alias("component_id"))
     return docs.join(known, _anew("fp") == F.col("node")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows, all columns, with one document, the smallest id, of each component; rows with a null id stay."""
-    gone = near_duplicates(df, radius, id_col=id_col, text_col=text_col).filter("doc_id <> component_id").select("doc_id")
-    return without(df, id_col, gone)
+    """df's rows, all columns, with one row of each component.
+
+    That is the row with the smallest id (null last); of rows that repeat it, the first by
+    fingerprint and row number.
+    """
+    numbered, key = keyed(df)
+    docs = checkpointed(fingerprints(numbered, SHINGLE, id_col, text_col, key))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row")))
+    nodes = checkpointed(docs.groupBy("fp").agg(F.min("doc_id").alias("low"), first["row"].alias("first")))
+    label = components(nodes.select("fp", "low"), links(nodes.select("fp"), radius)).filter("fp <> node").select(F.col("fp").alias("other"))
+    kept = nodes.join(label, _anew("fp") == _anew("other"), "left_anti").select(F.col("first").alias("keep"))
+    return without(numbered, key, docs.join(kept, F.col("row") == F.col("keep"), "left_anti").select("row")).drop(key)

@@ -232,6 +232,26 @@ def test_near_filter_keeps_one_of_each(make):
     assert {r["doc_id"] for r in kept.collect()} == {c for _, _, c in simhash_brute(rows)}
 
 
+#: Ids that repeat with other texts, rows that repeat id and text, null ids: and what must stay.
+ONE, TWO = "one two three four five six seven", "alpha beta gamma delta epsilon zeta eta"
+REPEATS = [(3, ONE), (4, ONE), (4, TWO), (7, "same row"), (7, "same row"), (None, TWO), (None, "only null ids"), (None, "only null ids"), (9, ONE)]
+STAY = Counter([(3, ONE), (4, TWO), (7, "same row"), (None, "only null ids")])
+
+
+@pytest.mark.parametrize("drop", [exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates])
+def test_filters_decide_by_row(make, drop):
+    assert Counter((r["doc_id"], r["text"]) for r in drop(make(REPEATS, clash=True)).collect()) == STAY
+    df = make(REPEATS).withColumn("__row", F.lit(0))
+    assert drop(df).columns == df.columns
+
+
+def test_near_filter_keeps_one_row_of_each_component(make):
+    rows = near_copies(6, 8)
+    again = [(i if i % 3 else None, t) for i, t in rows] + rows
+    got = simhash.drop_near_duplicates(make(again)).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter({c for _, _, c in simhash_brute(again)})
+
+
 # -- fingerprints
 
 
