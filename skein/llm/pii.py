@@ -15,10 +15,10 @@ These are the base spans; all of them stay. The method adds, outside base spans:
 
 * iban: an international bank account number that passes the mod-97 check
 * phone: a number in national form (3, 3 and 4 digits), if a word such as "phone" or
-  "Telefon" stands shortly before it
+  "Telefon" stands shortly before or after it
 
 Every span has a score from 0 to 1: what its pattern and checks are worth, and more for
-context words of its kind in the 40 characters before. Added spans need ACCEPTED.
+context words of its kind in the 40 characters before, other spans among them, or the 20 after. Added spans need ACCEPTED.
 
 Results for special inputs: a null text counts as empty, and has no spans; redact()
 keeps it null. Repeated rows each give a row, an empty table an empty one. Extra
@@ -41,7 +41,7 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-
 NATIONAL = r"(?<![0-9A-Za-z+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
-#: Context words before a span, in English, German, French and Spanish.
+#: Context words near a span, in English, German, French and Spanish.
 CONTEXT = {
     "email": r"(?i)\b(?:e-?mail|contact|write to|kontakt|courriel|correo)\b",
     "ip": r"(?i)\b(?:ip|host|server|address|adresse|direcci)",
@@ -52,23 +52,27 @@ CONTEXT = {
 KINDS = ["email", "ip", "card", "phone", "iban"]
 #: What a pattern with its checks is worth, what context adds, and what added spans need.
 WORTH = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "national": 0.4}
-CONTEXT_WORTH, ACCEPTED, CONTEXT_CHARS = 0.25, 0.6, 40
+CONTEXT_WORTH, ACCEPTED, CONTEXT_CHARS, AFTER_CHARS = 0.25, 0.6, 40, 20
 
-FOUND = "array<struct<start:bigint,end:bigint,hit:string,before:string>>"
+FOUND = "array<struct<start:bigint,end:bigint,hit:string,before:string,after:string>>"
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """Places, matches and the characters before, of all matches."""
+    """Places, matches and the characters around them, of all matches."""
     pairs = F.zip_with(
         F.split(text, pattern, -1),
         F.regexp_extract_all(text, F.lit(pattern), 0),
-        lambda gap, hit: F.struct(F.length(gap).cast("long").alias("gap"), F.length(hit).cast("long").alias("n"), hit.alias("hit"), F.substring(gap, -CONTEXT_CHARS, CONTEXT_CHARS).alias("before")),
+        lambda gap, hit: F.struct(F.length(gap).cast("long").alias("gap"), F.length(hit).cast("long").alias("n"), hit.alias("hit")),
     )
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(FOUND).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         end = acc["at"] + x["gap"] + x["n"]
-        one = F.struct((acc["at"] + x["gap"]).alias("start"), end.alias("end"), x["hit"].alias("hit"), x["before"].alias("before"))
+        first = acc["at"] + x["gap"]
+        low = F.greatest(F.lit(0).cast("long"), first - CONTEXT_CHARS)
+        before = F.substr(text, (low + 1).cast("int"), (first - low).cast("int"))
+        after = F.substr(text, (end + 1).cast("int"), F.lit(AFTER_CHARS))
+        one = F.struct(first.alias("start"), end.alias("end"), x["hit"].alias("hit"), before.alias("before"), after.alias("after"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     all_of = F.aggregate(F.filter(pairs, lambda x: x["hit"].isNotNull()), start, step)["out"]
@@ -102,7 +106,7 @@ def mod97(iban: Column) -> Column:
 
 def _spans(found: Column, kind: str, worth: str, base: bool) -> Column:
     def span(x: Column) -> Column:
-        more = F.when(x["before"].rlike(CONTEXT[kind]), CONTEXT_WORTH).otherwise(0.0)
+        more = F.when(x["before"].rlike(CONTEXT[kind]) | x["after"].rlike(CONTEXT[kind]), CONTEXT_WORTH).otherwise(0.0)
         return F.struct(F.lit(KINDS.index(kind)).alias("rank"), x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.least(F.lit(1.0), F.lit(WORTH[worth]) + more).alias("score"), F.lit(base).alias("base"))
 
     return F.transform(found, span)

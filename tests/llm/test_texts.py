@@ -222,6 +222,13 @@ def test_toxicity_without_labels(make, odd, documents):
     assert toxicity.train([[{"a"}]], np.array([1.0])) == {}
 
 
+def test_context_reaches_over_other_numbers(make):
+    texts = ["Telefon: 030-555-1234, 030-555-9876, 030-555-4321", "see 030-555-1234 (mobile) or later", "order 030-555-1234, 030-555-9876", "🙂 é call 030-555-1234 / 030-555-9876"]
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"]] for r in pii.find(make(list(enumerate(texts)))).collect()}
+    assert got == {0: ["030-555-1234", "030-555-9876", "030-555-4321"], 1: ["030-555-1234"], 2: [], 3: ["030-555-1234", "030-555-9876"]}
+    assert [r["text"] for r in pii.redact(make([(0, texts[0])])).collect()] == ["Telefon: [PHONE], [PHONE], [PHONE]"]
+
+
 # -- pipeline
 
 
