@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -135,6 +136,44 @@ def test_broken_pages():
     html_text.main_text("<a b='" * 5000 + "<" * 5000)
 
 
+PARAGRAPHS = "<p>First sentence, with commas, of the article text.</p><p>Second one is here, too.</p>"
+TEXT = "First sentence, with commas, of the article text.\n\nSecond one is here, too."
+MARKED = {
+    "a form around the page": (f"<html><body><form id=aspnetForm><div>{PARAGRAPHS}</div></form></body></html>", TEXT),
+    "a layout's name": (f'<body><div class="content has-sidebar">{PARAGRAPHS}</div></body>', TEXT),
+    "a layout's name around the article": (f'<body><div class="layout with-sidebar"><article>{PARAGRAPHS}</article><aside>x, y</aside></div></body>', TEXT),
+    "a widget around the article": (f'<body><nav>a</nav><div class="elementor-widget"><article>{PARAGRAPHS}</article></div></body>', TEXT),
+    "marked by name around the article": (f'<div class="widget"><main>{PARAGRAPHS}</main></div>', TEXT),
+    "a wrapper of content and sidebar": (f'<div class="content-sidebar-wrap"><div class="content"><h1>T</h1>{PARAGRAPHS}</div><div class="sidebar">menu</div></div>', "T\n\n" + TEXT),
+    "named paragraphs and link lists in an article": (f'<article>{PARAGRAPHS}<p class="social-history">He smoked.</p><ul><li><a href=x>one</a><li><a href=y>two</a></ul></article>', TEXT + "\n\nHe smoked.\n\none\n\ntwo"),
+    "an apostrophe in a value": (f"<article><p title=don't>first text here isn't lost</p>{PARAGRAPHS}</article>", "first text here isn't lost\n\n" + TEXT),
+    "a stray quote": (f'<article><p class="x"">stray</p>{PARAGRAPHS}</article>', "stray\n\n" + TEXT),
+    "a quote that isn't closed": (f"<article><p class='a>b</p>{PARAGRAPHS}</article>", "b\n\n" + TEXT),
+    "a teaser in a sidebar": (f"<aside class=related><article>Teaser</article></aside><div class=post>{PARAGRAPHS}</div>", TEXT),
+    "an open head": (f"<head><title>x</title><article>{PARAGRAPHS}</article>", TEXT),
+    "comments": (f"<body><article>{PARAGRAPHS}</article><div class='comments-area'><p>a, long, long, comment, with, commas</p></div></body>", TEXT),
+    "a notice longer than the article": ("<div class='cookie-notice'><p>we, use, cookies, a, lot, and, more</p></div><div class=post><p>Short.</p></div>", "Short."),
+    "an advert in an article": (f"<article>{PARAGRAPHS}<p class=ad>Buy.</p><div class='wp-ad-block'>Buy, buy.</div></article>", TEXT),
+    "an open drawing": (f"<article><svg>{PARAGRAPHS}</article>", TEXT),
+    "a footer alone": ("<div id=footer><p>copy</p></div>", ""),
+    "an article far down": ("<div>" * 40 + f"<div class=x>{PARAGRAPHS}</div>" + "</div>" * 40, TEXT),
+    "a label inside a paragraph": (f"<article>{PARAGRAPHS}<p>one <button>x</button> two</p></article>", TEXT + "\n\none two"),
+}
+
+
+@pytest.mark.parametrize("name", MARKED)
+def test_marks_and_broken_attributes(name):
+    page, text = MARKED[name]
+    assert html_text.main_text(page) == text
+
+
+def test_long_broken_pages_take_linear_time():
+    began = time.perf_counter()
+    for page in ("<svg>" * 30_000, "<a b='" * 30_001, "<div class=ad>" * 30_000 + "x", "<p title=\"" * 20_000, "<article><div class=sidebar>" * 10_000 + "x", "<" * 200_000, "<!--" * 50_000):
+        html_text.main_text(page)
+    assert time.perf_counter() - began < 30
+
+
 def test_extract_frames(spark):
     rows = [(1, "u", PAGE), (2, None, None), (None, "v", "<p>x</p>"), (1, "u", PAGE)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
