@@ -125,6 +125,40 @@ def test_token_count_frames(make, byte_lib, odd):
     assert token_counts.token_counts(make([]), BYTES).count() == 0
 
 
+def test_long_runs_are_encoded(pieces, byte_lib):
+    for text in (" " * 1_000_000, "\n" * 1_000_000 + "x", "a" + " \t" * 600_000 + " b <|endoftext|>" + "\n" * 20_000, "é日" + "\u3000" * 300_000, "x" * 1_000_000, "日" * 300_000, "!?" * 500_000):
+        want = byte_lib.encode(text, add_special_tokens=False).ids
+        assert pieces.encode(text).tolist() == want
+        assert token_counts.count_batch(pieces, [text]).tolist() == [len(want)]
+
+
+def test_pre_tokens_are_the_tokenizers_own(pieces):
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    pre = ByteLevel(add_prefix_space=False, use_regex=True)
+    r = random.Random(11)
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    texts = odd_texts() + ["".join(chr(r.choice(points)) if r.random() < 0.5 else r.choice(LETTERS) for _ in range(30)) for _ in range(5000)]
+    for text in texts:
+        assert pieces.pieces(text) == [text[a:b] for _, (a, b) in pre.pre_tokenize_str(text)]
+
+
+@pytest.mark.parametrize("head", [0, 3, 40])
+def test_pre_tokens_beyond_the_broadcast_are_joined(make, byte_lib, odd, sample, head):
+    rows = odd + sample[:150] + [(9, "a <|endoftext|>" + " " * 50_000 + "日本"), (9, "x" * 100_000)]
+    got = token_counts.token_counts(make(rows, clash=True), BYTES, limit=9, head=head).collect()
+    n = lambda t: len(byte_lib.encode(t or "", add_special_tokens=False))
+    assert Counter(map(tuple, got)) == Counter((i, len((t or "").encode()), n(t), n(t) > 9) for i, t in rows)
+
+
+def test_every_distinct_pre_token_is_counted_once(make, pieces, sample, monkeypatch):
+    monkeypatch.setattr(token_counts, "HELD", 20)
+    docs = make(sample[:100]).select("text")
+    table = {bytes(r["piece"]).decode(): (r["times"], r["n"]) for r in token_counts.piece_counts(token_counts.distinct_pieces(docs, BYTES), BYTES).collect()}
+    times = Counter(p for _, t in sample[:100] for p in pieces.pieces(t))
+    assert table == {p: (k, len(pieces.merged(p))) for p, k in times.items()}
+
+
 @settings(deadline=None)
 @given(st.integers(0, 100_000), st.sampled_from([1, 2, 64, 2048]))
 def test_binary_lengths(n, most):
@@ -133,7 +167,7 @@ def test_binary_lengths(n, most):
     assert len(got) == n // most + (n % most).bit_count() and got == sorted(got, reverse=True)
 
 
-def test_packing_frames(make, byte_lib, odd, sample):
+def test_packing_frames(make, byte_lib, odd, sample, tmp_path):
     rows = odd + [(i + 100, t) for i, t in sample[:200]]
     df = make(rows, clash=True)
     got = packing.pack(df, BYTES, max_tokens=64).collect()
@@ -160,6 +194,10 @@ def test_packing_frames(make, byte_lib, odd, sample):
         part = np.array(whole[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4")
         assert r["ids_crc32"] == zlib.crc32(part.tobytes()) and r["doc_tokens"] == len(whole[r["doc_id"]])
     assert packing.pack(make([]), BYTES).count() == 0
+    path = str(tmp_path / "packed")
+    packing.write_buckets(packing.pack(df, BYTES, max_tokens=64), path)
+    full = df.sparkSession.read.parquet(f"{path}/bucket=6")
+    assert {r["length"] for r in full.select("length").collect()} == {64} and full.count() == sum(r["length"] == 64 for r in got)
     for wrong in (0, 3, 100):
         with pytest.raises(ValueError):
             packing.pack(df, BYTES, max_tokens=wrong)
