@@ -4,7 +4,9 @@ A document's ids, with an end id, are cut into full sequences and, for the rest,
 piece for each bit of its length, largest first. A piece is a sequence of its own, so
 no sequence crosses documents, and every length is a power of two, so none is padded.
 Equal lengths share a bucket (the length's exponent); a batch drawn from one bucket
-is rectangular. Sequence ids hold the bucket in their lowest BUCKET_BITS bits.
+is rectangular. write_buckets() gathers equal lengths in a folder of their own.
+Sequence ids hold the bucket in their lowest BUCKET_BITS bits; the rest numbers rows by
+partition and place, so it depends on how the input is split.
 
 All of it is one narrow pass: no shuffle, and no row waits for another document.
 
@@ -62,4 +64,9 @@ def pack(df: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int
 
 def pack_digests(df: DataFrame, tokenizer_path: str, **options) -> DataFrame:
     """pack() with a checksum in place of the ids."""
-    return pack(df, tokenizer_path, **options).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack(df, tokenizer_path, **options).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
+
+def write_buckets(pieces: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write pack()'s rows with a folder for each bucket, so that equal lengths lie together; every task writes its own files, without a shuffle."""
+    pieces.write.mode(mode).partitionBy("bucket").parquet(path)
