@@ -2,7 +2,9 @@ r"""Personal data: patterns propose spans, checks confirm them, context words ad
 
 DataFrame functions only. A pattern's places come from two views of one scan: split()
 gives the texts between matches, regexp_extract_all() the matches; running lengths give
-code point positions. Patterns are written so that the regular expression engine never
+code point positions. Running sums and maxima over a document's matches are made by
+doubling (n log n steps for n matches), and what surrounds a match comes from the
+neighbouring views, so no step reads a text once per match. Patterns are written so that the regular expression engine never
 looks at a run of characters twice (possessive repeats; a run is entered at its start),
 with the same leftmost, non-overlapping matches as their plain forms:
 
@@ -55,28 +57,57 @@ WORTH = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "natio
 CONTEXT_WORTH, ACCEPTED, CONTEXT_CHARS, AFTER_CHARS = 0.25, 0.6, 40, 20
 
 FOUND = "array<struct<start:bigint,end:bigint,hit:string,before:string,after:string>>"
+#: Matches beside one that its context can reach into: none is shorter than 4 characters.
+BEFORE_HITS, AFTER_HITS = -(-CONTEXT_CHARS // 4), -(-AFTER_CHARS // 4)
+#: Code points of one piece of a text that is cut up for redaction.
+CUT = 512
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """Places, matches and the characters around them, of all matches."""
-    pairs = F.zip_with(
+def _running(values: Column, pick, none: Column) -> Column:
+    """values[i] combined with all before it by pick, a function of two columns, by doubling."""
+    rounds = F.length(F.bin(F.size(values).cast("long") - 1))
+    steps = F.when(F.size(values) > 1, F.sequence(F.lit(0), rounds - 1)).otherwise(F.array().cast("array<int>"))
+
+    def double(acc: Column, k: Column) -> Column:
+        return F.transform(acc, lambda v, i: pick(v, F.coalesce(F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)), none)))
+
+    return F.aggregate(steps, values, double)
+
+
+def _running_sum(values: Column) -> Column:
+    return _running(values, lambda x, y: x + y, F.lit(0).cast("long"))
+
+
+def _running_max(values: Column) -> Column:
+    return _running(values, F.greatest, F.lit(-1).cast("long"))
+
+
+def _with_found(df: DataFrame, text: Column, pattern: str, out: str) -> DataFrame:
+    """df with column out: places, matches and the characters around them, of all matches."""
+    pairs, ends = f"{out}_pairs", f"{out}_ends"
+    long = lambda x: F.length(x).cast("long")
+    both = F.zip_with(
         F.split(text, pattern, -1),
         F.regexp_extract_all(text, F.lit(pattern), 0),
-        lambda gap, hit: F.struct(F.length(gap).cast("long").alias("gap"), F.length(hit).cast("long").alias("n"), hit.alias("hit")),
+        lambda gap, hit: F.struct(
+            long(gap).alias("gap"), F.coalesce(long(hit), F.lit(0).cast("long")).alias("n"), hit.alias("hit"), F.right(F.concat(gap, F.lit("")), F.lit(CONTEXT_CHARS)).alias("last"), F.left(gap, F.lit(AFTER_CHARS)).alias("first")
+        ),
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(FOUND).alias("out"))
+    empty = "array<struct<gap:bigint,n:bigint,hit:string,last:string,first:string>>"
+    df = df.withColumn(pairs, F.when(text.rlike(pattern), both).otherwise(F.array().cast(empty)))
+    p = F.col(pairs)
+    df = df.withColumn(ends, _running_sum(F.transform(p, lambda x: x["gap"] + x["n"])))
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + x["gap"] + x["n"]
-        first = acc["at"] + x["gap"]
-        low = F.greatest(F.lit(0).cast("long"), first - CONTEXT_CHARS)
-        before = F.substr(text, (low + 1).cast("int"), (first - low).cast("int"))
-        after = F.substr(text, (end + 1).cast("int"), F.lit(AFTER_CHARS))
-        one = F.struct(first.alias("start"), end.alias("end"), x["hit"].alias("hit"), before.alias("before"), after.alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def one(z: Column, i: Column) -> Column:
+        x, end = z[pairs], z[ends]
+        low = F.greatest(F.lit(0), i - BEFORE_HITS)
+        back = F.transform(F.slice(p, low + 1, i - low), lambda y: F.concat(y["last"], F.coalesce(y["hit"], F.lit(""))))
+        ahead = F.transform(F.slice(p, i + 2, F.lit(AFTER_HITS + 1)), lambda y: F.concat(y["first"], F.coalesce(y["hit"], F.lit(""))))
+        before = F.right(F.concat(F.array_join(back, ""), x["last"]), F.lit(CONTEXT_CHARS))
+        after = F.left(F.array_join(ahead, ""), F.lit(AFTER_CHARS))
+        return F.when(x["hit"].isNotNull(), F.struct((end - x["n"]).alias("start"), end.alias("end"), x["hit"].alias("hit"), before.alias("before"), after.alias("after")))
 
-    all_of = F.aggregate(F.filter(pairs, lambda x: x["hit"].isNotNull()), start, step)["out"]
-    return F.when(text.rlike(pattern), all_of).otherwise(F.array().cast(FOUND))
+    return df.withColumn(out, F.filter(F.transform(F.arrays_zip(p, F.col(ends)), one), lambda x: x.isNotNull())).drop(pairs, ends)
 
 
 def _digits(hit: Column) -> Column:
@@ -116,18 +147,31 @@ def span_arrays(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with column out: its text column's spans (rank, start, end, kind, score, base) by kind, then start."""
     t = F.coalesce(F.col(text), F.lit(""))
     n = lambda x: F.length(_digits(x["hit"]))
-    email = _found(t, EMAIL)
-    ip = F.filter(_found(t, IP), lambda x: x["hit"].rlike(f"^{PART}(?:\\.{PART}){{3}}$"))
-    card = F.filter(_found(t, CARD), lambda x: n(x).between(13, 19) & luhn(_digits(x["hit"])))
-    phone = F.filter(_found(t, PHONE), lambda x: n(x).between(9, 15))
-    iban = F.filter(_found(t, IBAN), lambda x: mod97(F.replace(x["hit"], F.lit(" "), F.lit(""))))
-    national = _found(t, NATIONAL)
-    base = F.concat(_spans(email, "email", "email", True), _spans(ip, "ip", "ip", True), _spans(card, "card", "card", True), _spans(phone, "phone", "phone", True))
-    added = F.concat(_spans(iban, "iban", "iban", False), _spans(national, "phone", "national", False))
-    both = df.withColumns({f"{out}_base": base, f"{out}_added": added})
-    b = F.col(f"{out}_base")
-    free = F.filter(F.col(f"{out}_added"), lambda x: (x["score"] >= ACCEPTED) & ~F.exists(b, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return both.withColumn(out, F.array_sort(F.concat(b, free))).drop(f"{out}_base", f"{out}_added")
+    held = {name: f"{out}_{name}" for name in ("email", "ip", "card", "phone", "iban", "national", "base", "added", "all", "ends", "starts")}
+    rows = df
+    for name, pattern in (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE), ("iban", IBAN), ("national", NATIONAL)):
+        rows = _with_found(rows, t, pattern, held[name])
+    found = {name: F.col(c) for name, c in held.items()}
+    ip = F.filter(found["ip"], lambda x: x["hit"].rlike(f"^{PART}(?:\\.{PART}){{3}}$"))
+    card = F.filter(found["card"], lambda x: n(x).between(13, 19) & luhn(_digits(x["hit"])))
+    phone = F.filter(found["phone"], lambda x: n(x).between(9, 15))
+    iban = F.filter(found["iban"], lambda x: mod97(F.replace(x["hit"], F.lit(" "), F.lit(""))))
+    base = F.concat(_spans(found["email"], "email", "email", True), _spans(ip, "ip", "ip", True), _spans(card, "card", "card", True), _spans(phone, "phone", "phone", True))
+    added = F.concat(_spans(iban, "iban", "iban", False), _spans(found["national"], "phone", "national", False))
+    rows = rows.withColumns({held["base"]: base, held["added"]: F.filter(added, lambda x: x["score"] >= ACCEPTED)})
+    # In order of starts, an added span is free if all base spans before it end before it, and the next one begins after it.
+    line = F.array_sort(F.transform(F.concat(found["base"], found["added"]), lambda x: F.struct(x["start"].alias("at"), (~x["base"]).alias("late"), x.alias("span"))))
+    rows = rows.withColumn(held["all"], F.when(F.size(found["added"]) > 0, line))
+    every = found["all"]
+    far = F.lit(1 << 62).cast("long")
+    ends = _running_max(F.transform(every, lambda x: F.when(x["span"]["base"], x["span"]["end"]).otherwise(F.lit(-1).cast("long"))))
+    # Running maxima from the end, of negative starts: the next base span's start.
+    starts = F.reverse(_running(F.transform(F.reverse(every), lambda x: F.when(x["span"]["base"], -x["at"]).otherwise(-far)), F.greatest, -far))
+    rows = rows.withColumns({held["ends"]: ends, held["starts"]: starts})
+    span = lambda z: z[held["all"]]["span"]
+    free = F.filter(F.arrays_zip(every, found["ends"], found["starts"]), lambda z: ~span(z)["base"] & (z[held["ends"]] <= span(z)["start"]) & (-z[held["starts"]] >= span(z)["end"]))
+    spans = F.when(every.isNull(), found["base"]).otherwise(F.concat(found["base"], F.transform(free, span)))
+    return rows.withColumn(out, F.array_sort(spans)).drop(*held.values())
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,16 +204,27 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
     while any(c.lower().startswith(held) for c in df.columns):
         held += "_"
     text = F.col(text_col)
+    line, ends, cuts = f"{held}_line", f"{held}_until", f"{held}_cuts"
     order = F.array_sort(F.transform(F.col(held), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        part = F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] < acc["at"], acc["out"]).otherwise(part).alias("out"))
-
-    new = F.aggregate(order, start, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
-    new = F.when(F.size(held) > 0, new).otherwise(text)
-    rows = span_arrays(df, text_col, held).withColumn(text_col, new).drop(held)
+    rows = span_arrays(df, text_col, held).withColumn(line, order)
+    # Where the spans before each one end, and where all end.
+    before = F.concat(F.array(F.lit(0).cast("long")), _running_max(F.transform(F.col(line), lambda x: x["end"])))
+    rows = rows.withColumns({ends: before, cuts: F.when(F.size(held) > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), 0))})
+
+    def part(low: Column, high: Column) -> Column:
+        """The text from low to high, from the pieces it lies in."""
+        first, last = F.floor(low / CUT).cast("int"), F.floor(high / CUT).cast("int")
+        pieces = F.array_join(F.slice(F.col(cuts), first + 1, last - first + 1), "")
+        return F.substr(pieces, (low - F.lit(CUT) * first + 1).cast("int"), (high - low).cast("int"))
+
+    def step(z: Column) -> Column:
+        x, until = z[line], z[ends]
+        # A span that begins inside an earlier one gives nothing of its own.
+        return F.when(x.isNull() | (x["start"] < until), "").otherwise(F.concat(part(until, x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+
+    parts = F.transform(F.arrays_zip(F.col(line), F.col(ends)), step)  # there is one end more than spans
+    tail = part(F.element_at(F.col(ends), -1), F.length(text).cast("long"))
+    rows = rows.withColumn(text_col, F.when(F.size(held) > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(text)).drop(held, line, ends, cuts)
     if length_col and length_col in df.columns:
         rows = rows.withColumn(length_col, F.length(text_col).cast(df.schema[length_col].dataType))
     return rows.select(*df.columns)

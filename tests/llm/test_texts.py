@@ -268,6 +268,40 @@ def test_context_reaches_over_other_numbers(make):
     assert [r["text"] for r in pii.redact(make([(0, texts[0])])).collect()] == ["Telefon: [PHONE], [PHONE], [PHONE]"]
 
 
+def test_many_matches_take_linear_time(make):
+    n = 100_000
+    rows = [(1, "mail a@b.cd now " * n), (2, "Telefon 030-555-1234, a@b.cd +49 30 1234567 " * (n // 4))]
+    df = make(rows).withColumn("n_chars", F.lit(0).cast("long"))
+    pii.redact(make(rows[:1]).limit(0)).collect()
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in pii.find_digests(df).collect()}
+    text = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1]["n_email"] == n and got[2]["n_phone"] == n // 4 and got[1]["spans"].endswith(f"email:{16 * n - 11}:{16 * n - 5}")
+    assert text == {1: "mail [EMAIL] now " * n, 2: "Telefon [PHONE], [EMAIL] [PHONE] " * (n // 4)}
+
+
+def test_redaction_equals_brute_force(make):
+    r = random.Random(8)
+    parts = ["x@y.zz", "1.2.3.4", "4539 1488 0343 6467", "+49 30 1234567", "DE89 3704 0044 0532 0130 00", "tel 030-555-1234", "🙂é", " ", ", ", "words and more ", "0", "\n", "a" * 700]
+    rows = [(k, "".join(r.choice(parts) for _ in range(r.choice([3, 30, 300])))) for k in range(200)]
+    spans = {x["doc_id"]: x["spans"] for x in pii.find(make(rows)).collect()}
+    got = {x["doc_id"]: x["text"] for x in pii.redact(make(rows)).collect()}
+    for i, text in rows:
+        out, at = "", 0
+        for s in sorted(spans[i], key=lambda s: (s["start"], -s["end"])):
+            if s["start"] >= at:
+                out += text[at : s["start"]] + f"[{s['kind'].upper()}]"
+            at = max(at, s["end"])
+        assert got[i] == out + text[at:]
+        base = [s for s in spans[i] if s["base"]]
+        assert [(s["kind"], s["start"], s["end"]) for s in base] == base_spans(text)
+        added = {(m.start(), m.end()) for m in re.finditer(pii.NATIONAL, text)} | {(m.start(), m.end()) for m in re.finditer(pii.IBAN, text)}
+        assert {(s["start"], s["end"]) for s in spans[i] if not s["base"]} <= {(a, b) for a, b in added if not any(s["start"] < b and a < s["end"] for s in base)}
+        context = [(m.start(), m.end()) for m in re.finditer(pii.NATIONAL, text) if re.search(pii.CONTEXT["phone"], text[max(0, m.start() - 40) : m.start()]) or re.search(pii.CONTEXT["phone"], text[m.end() : m.end() + 20])]
+        assert {(a, b) for a, b in context if not any(s["start"] < b and a < s["end"] for s in base)} <= {(s["start"], s["end"]) for s in spans[i] if s["kind"] == "phone"}
+
+
 # -- pipeline
 
 
