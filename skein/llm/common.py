@@ -33,16 +33,24 @@ def bounded_batches(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
-    The folder is what the session names in spark.checkpoint.dir. Only where that
-    is unset, as in tests on one machine, a temporary folder is used.
+    The folder is what the session names in spark.checkpoint.dir. Only where that is
+    unset and all runs in one process, as in tests, a temporary folder is used; on a
+    cluster it would be another folder on every machine, and is refused.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not one_process(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skein-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def one_process(master: str) -> bool:
+    """Whether executors are threads of the driver: local or local[...], not local-cluster."""
+    return master == "local" or master.startswith("local[")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -46,3 +46,15 @@ def test_columns(spark, name):
     have = [f"{c} {t}" for c, t in QUERIES[name](spark, SF).dtypes]
     want = COLUMNS[name].split(", ")
     assert have[: len(want)] == want
+
+
+def test_no_machine_local_checkpoints_on_a_cluster():
+    from types import SimpleNamespace
+
+    from skein.llm.common import checkpointed, one_process
+
+    assert one_process("local") and one_process("local[4]") and not one_process("local-cluster[3,2,900]") and not one_process("yarn")
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    df = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=sc, conf={}))
+    with pytest.raises(ValueError, match="checkpoint"):
+        checkpointed(df)
