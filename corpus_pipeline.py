@@ -31,7 +31,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest id; one row of each component."""
+    """Of each group of texts linked by a similarity of 0.8 or more over five-word shingles, the document with the smallest id; one row of each group."""
     return drop_near_duplicates(docs)
 
 

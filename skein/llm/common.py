@@ -86,12 +86,22 @@ def without(df: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
     The ids are counted first. Up to FEW_IDS of them are broadcast, so the documents
     don't move; beyond, ids and documents are shuffled.
     """
-    gone = checkpointed(dropped.toDF("__gone"))
-    if gone.limit(FEW_IDS + 1).count() <= FEW_IDS:
-        gone = F.broadcast(gone)
+    gone = _sized(dropped.toDF("__gone"))
     return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
 
 
+def among(df: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
+    """df's rows whose id is in the one-column frame wanted, by the same means as without()."""
+    these = _sized(wanted.toDF("__these"))
+    return df.join(these, df[id_col] == these["__these"], "left_semi")
+
+
+def _sized(ids: DataFrame) -> DataFrame:
+    """A checkpointed frame of ids, marked for a broadcast if there are at most FEW_IDS."""
+    ids = checkpointed(ids)
+    return F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
+
+
 def train_row(id_col: Column) -> Column:
     """Rows that labels may be learnt from: crc32 of the id as text is not divisible by 5."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 != 0, F.lit(False))

@@ -20,6 +20,13 @@
 5. Components of these links: rounds of hooking to smaller labels and pointer jumping,
    until nothing changes.
 
+The filter drop_near_duplicates() has a wider net, by the same comparison: texts are
+similar if the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
+Fingerprints have 256 bits, of which similar texts may differ in 60; tables of random
+bits find candidates with a stated chance of a miss (about N ** 0.24 tables), forests
+join the closest pairs first, and pairs that aren't closer than any dissimilar ones
+would be are verified by their sets. Only sets of texts in such pairs are moved.
+
 Results for special inputs: a null text counts as empty. A text without words has
 fingerprint zero, which is linked like any other. A null doc_id takes part, and
 component_id is null only if every doc_id of the component is. Repeated rows each
@@ -29,7 +36,9 @@ are hashed whole, in slices of bounded memory.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -38,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded_batches, checkpointed, id_and_text, keyed, without
+from skein.llm.common import among, bounded_batches, checkpointed, id_and_text, keyed, without
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Fixed: A to Z in lower case, other characters as they are.
@@ -52,7 +61,16 @@ MEAN_BUCKET = 256
 FEW_BUCKETS = 10_000
 #: Lanes that a task holds at once.
 LANES = 1 << 16
-ONE = np.uint64(1)
+#: Fingerprints for similar texts: words of 64 bits, words of a shingle, the similarity that counts.
+WIDE_WORDS, WIDE_SHINGLE, SIMILARITY = 4, 5, 0.8
+#: Sets of Jaccard similarity J have the cosine 2 J / (1 + J); a bit differs with the chance arccos / pi.
+DIFFERING = float(np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi)
+#: That is 39 of 256 bits on average, with a deviation of 5.7. Pairs within the first radius are
+#: links (three deviations below), those beyond the last one aren't (nearly four above).
+WIDE_RADII = (20, 40, 60)
+SURE, WIDE_RADIUS = WIDE_RADII[0], WIDE_RADII[-1]
+#: Bucket size that sets the length of keys, and the share of pairs at SIMILARITY that no table may hold.
+WIDE_BUCKET, MISSED = 64, 0.02
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -65,11 +83,10 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return bits.sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, slice_size: int = 1 << 15) -> int:
+def shingle_hashes(text: str, shingle: int, slice_size: int = 1 << 15) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles, in order and with repeats, by slices of bounded memory; fewer words are one shingle."""
     words = [w.encode() for w in WORD.findall(text.translate(LOWER))]
-    if not words:
-        return 0
-    total, n = np.zeros(BITS, dtype=np.int64), max(1, len(words) - shingle + 1)
+    n = max(1, len(words) - shingle + 1) if words else 0
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, slice_size):
         part = words[at : at + slice_size + shingle - 1]
@@ -79,10 +96,35 @@ def fingerprint(text: str, shingle: int = SHINGLE, slice_size: int = 1 << 15) ->
         last = (ends - 1).tolist()
         m = min(slice_size, n - at)
         got = [digest(line[a:b], SEED) for a, b in zip(first[:m], last[min(shingle, len(part)) - 1 :], strict=False)]
-        total += bit_counts(np.array(got, dtype=np.uint64))
+        yield np.array(got, dtype=np.uint64)
+
+
+def fingerprint(text: str, shingle: int = SHINGLE, slice_size: int = 1 << 15) -> int:
+    total, n = np.zeros(BITS, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, shingle, slice_size):
+        total += bit_counts(hashes)
+        n += len(hashes)
     return int(sum(1 << b for b in np.flatnonzero(2 * total > n).tolist()))
 
 
+def shingle_set(text: str, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending."""
+    parts = list(shingle_hashes(text, shingle))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WIDE_WORDS words: every bit is the majority of that bit of the hashes, each mixed anew for every word."""
+    total = np.zeros((WIDE_WORDS, BITS), dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        for w in range(WIDE_WORDS):
+            x = hashes[at : at + (1 << 14)] + np.uint64(0x9E3779B97F4A7C15 * (w + 1) & (1 << 64) - 1)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            total[w] += bit_counts(x ^ (x >> np.uint64(31)))
+    return np.packbits(2 * total > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def fingerprints(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """doc_id, fp: the fingerprint as a signed long; and row, if row_col names a column of row numbers."""
     bounded_batches(df.sparkSession)
@@ -100,23 +142,21 @@ def fingerprints(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
 
 
 def bit_planes(fp: np.ndarray, spare: int) -> np.ndarray:
-    """Planes of the fingerprints' bits: row b holds bit b of lane 64 w + i at bit i of word w; spare empty lanes follow."""
+    """Planes of the fingerprints' bits (one word each, or a row of words): row b holds bit b of lane 64 w + i at bit i of word w; spare empty lanes follow."""
+    fp = fp.reshape(len(fp), -1)
     words = (len(fp) + spare + 63) // 64
-    padded = np.zeros(words * 64, dtype=np.uint64)
+    padded = np.zeros((words * 64, fp.shape[1]), dtype=np.uint64)
     padded[: len(fp)] = fp
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-#: Planes after which blocks of 64 lanes that are all beyond the radius are abandoned.
-CHECKS = frozenset(range(19, BITS - 1, 4))
-
-
 def near_words(base: np.ndarray, other: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which lanes are within radius of each other.
 
     base: planes of W words. other: planes of D shifts of W words. Returned: shift and
-    word of every block of 64 lanes that has near ones, and the bits of these.
+    word of every block of 64 lanes that has near ones, and the bits of these. Blocks of
+    64 lanes that are all beyond the radius are abandoned on the way.
     """
     counters = radius.bit_length()
     shape = other.shape[1:]
@@ -130,7 +170,7 @@ def near_words(base: np.ndarray, other: np.ndarray, radius: int) -> tuple[np.nda
             count[c] ^= carry
             carry = flipped
         beyond |= carry  # past the counters' range
-        if b in CHECKS:
+        if b >= max(19, radius) and b % 4 == 3 and b < len(base) - 1:
             live = (beyond | _greater(count, radius)) != ALL
             if at is None:
                 if live.mean() < 0.5:
@@ -161,33 +201,38 @@ def _greater(count: np.ndarray, limit: int) -> np.ndarray:
     return more
 
 
-def _link(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Join the trees of a[i] and b[i] for each i, smallest index as root; up holds roots before and after."""
-    known = {}
+def _link(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Join the trees of a[i] and b[i] for each i, smallest index as root; up holds roots before and after. Returned: the i that joined two trees."""
+    known: dict[int, int] = {}
+    joined = []
 
     def root(i: int) -> int:
         while (j := known.get(i, i)) != i:
             known[i] = i = known.get(j, j)
         return i
 
-    for x, y in zip(up[a].tolist(), up[b].tolist(), strict=True):
+    for i, (x, y) in enumerate(zip(up[a].tolist(), up[b].tolist(), strict=True)):
         x, y = root(x), root(y)
         if x != y:
             known[max(x, y)] = min(x, y)
+            joined.append(i)
     for i in known:
         up[i] = root(i)
     up[:] = up[up]
+    return joined
 
 
 #: Words of 64 lanes that one step of the comparison works on.
 STEP = 4096
 
 
-def unit_links(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside every unit.
+def unit_forest(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radii: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links inside every unit, as pairs of lanes that are within the largest radius.
 
     unit: a number for each lane, equal lanes contiguous. side: 2 if lanes compare with
-    all of their unit; 0 and 1 if only with the other side. Returned: linked pairs.
+    all of their unit; 0 and 1 if only with the other side. fp: a word for each lane, or
+    a row of words. Radii ascend; links within a smaller one are found first, so what
+    joins two trees is about their closest pair.
     """
     first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
     size = np.diff(np.r_[first, len(unit)])
@@ -201,29 +246,38 @@ def unit_links(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int =
     live = [int(ends[np.searchsorted(-size, -k, side="left") - 1]) if k < most else 0 for k in range(0, most, 64)]
     planes = bit_planes(fp.view(np.uint64), most + 128)
     up = np.arange(len(fp))
-    for by in range(min(64, most)):
-        moved = planes[:, :-1] if not by else (planes[:, :-1] >> np.uint64(by)) | (planes[:, 1:] << np.uint64(64 - by))
-        over = 0
-        while over < len(live):
-            lanes = live[over]  # of the units with over 64 * over lanes, which come first
-            words = (lanes + 63) // 64
-            deep = min(len(live) - over, max(1, STEP // words))
-            view = np.lib.stride_tricks.sliding_window_view(moved, words, axis=1)[:, over : over + deep]
-            d, w, bits = near_words(planes[:, :words], view, radius)
-            if len(d):
-                k, i = np.nonzero(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-                a, shift = w[k] * 64 + i, (over + d[k]) * 64 + by
-                ok = (a < lanes) & (shift > 0)
-                a, shift = a[ok], shift[ok]
-                ok = left[a] > shift
-                a, b = a[ok], (a + shift)[ok]
-                ok = ((side[a] == 2) | (side[a] != side[b])) & (up[a] != up[b])
-                if ok.any():
-                    _link(up, a[ok], b[ok])
-            over += deep
-    root = up
-    own = np.flatnonzero(root != np.arange(len(fp)))
-    return fp[own], fp[root[own]]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for radius in radii:
+        for by in range(min(64, most)):
+            moved = planes[:, :-1] if not by else (planes[:, :-1] >> np.uint64(by)) | (planes[:, 1:] << np.uint64(64 - by))
+            over = 0
+            while over < len(live):
+                lanes = live[over]  # of the units with over 64 * over lanes, which come first
+                words = (lanes + 63) // 64
+                deep = min(len(live) - over, max(1, STEP // words))
+                view = np.lib.stride_tricks.sliding_window_view(moved, words, axis=1)[:, over : over + deep]
+                d, w, bits = near_words(planes[:, :words], view, radius)
+                if len(d):
+                    k, i = np.nonzero(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                    a, shift = w[k] * 64 + i, (over + d[k]) * 64 + by
+                    ok = (a < lanes) & (shift > 0)
+                    a, shift = a[ok], shift[ok]
+                    ok = left[a] > shift
+                    a, b = a[ok], (a + shift)[ok]
+                    ok = ((side[a] == 2) | (side[a] != side[b])) & (up[a] != up[b])
+                    if ok.any():
+                        a, b = a[ok], b[ok]
+                        joined = _link(up, a, b)
+                        found.append((a[joined], b[joined]))
+                over += deep
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return lane[a], lane[b]
+
+
+def unit_links(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links inside every unit, as pairs of fingerprints."""
+    a, b = unit_forest(unit, side, fp, (radius,))
+    return fp[a], fp[b]
 
 
 def band_tables(radius: int = RADIUS, agree: int = 2) -> list[int]:
@@ -259,15 +313,21 @@ def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK, agree: int
     masks = band_tables(radius, agree or bands_for(nodes.count(), radius))
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
     rows = nodes.select("fp", F.inline(tables))
-    # Blocks: how many a bucket needs is known from its size; a row's own follows from its hash.
+    return _forests(_in_units(rows, "fp", block), ["fp"], "fp", (radius,)).select("a", "b").distinct()
+
+
+def _in_units(rows: DataFrame, node: str, block: int) -> DataFrame:
+    """rows (t, key and others) dealt out by unit: a bucket (t, key), or two blocks (i, j) of a large one, with the side of each row."""
+    # How many blocks a bucket needs is known from its size; a row's own follows from its hash.
     large = rows.groupBy("t", "key").count().filter(F.col("count") > block)
     large = large.select(F.col("t").alias("lt"), F.col("key").alias("lkey"), F.ceil(F.col("count") / (block / 2)).cast("int").alias("blocks"))
     large = checkpointed(large)
     if large.limit(FEW_BUCKETS + 1).count() <= FEW_BUCKETS:
         large = F.broadcast(large)
+    columns = rows.columns
     rows = rows.join(large, (F.col("t") == F.col("lt")) & (F.col("key") == F.col("lkey")), "left")
     blocks = F.coalesce("blocks", F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    own = F.pmod(F.xxhash64(node), blocks).cast("int")
     # Units of a bucket: every pair of blocks. In unit (i, j) block i is side 0 and j side 1; (i, i) has side 2.
     units = F.transform(
         F.sequence(F.lit(0), blocks - 1),
@@ -277,10 +337,13 @@ def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK, agree: int
             F.when(k == F.col("own"), 2).when(F.col("own") < k, 0).otherwise(1).alias("side"),
         ),
     )
-    spread = rows.withColumn("own", own).select("fp", "t", "key", F.inline(units))
-    session = nodes.sparkSession
-    parts = max(1, int(session.conf.get("spark.sql.shuffle.partitions")))
-    spread = spread.repartition(parts, "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
+    spread = rows.withColumn("own", own).select(*columns, F.inline(units))
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spread.repartition(parts, "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
+
+
+def _forests(spread: DataFrame, words: list[str], node: str, radii: tuple[int, ...]) -> DataFrame:
+    """a, b, distance: spanning forests of all units, as pairs of nodes."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -297,8 +360,11 @@ def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK, agree: int
             end = n if last else int(np.flatnonzero(new)[-1])
             if end:
                 unit = np.cumsum(new)[:end]
-                a, b = unit_links(unit, table.column("side").to_numpy()[:end], table.column("fp").to_numpy()[:end], radius)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                fp = np.stack([table.column(c).to_numpy()[:end] for c in words], axis=1)
+                a, b = unit_forest(unit, table.column("side").to_numpy()[:end], fp, radii)
+                names = table.column(node).to_numpy()
+                far = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names[a], pa.int64()), pa.array(names[b], pa.int64()), pa.array(far)], ["a", "b", "distance"])
             held, n = (table.slice(end).to_batches(), n - end) if end < n else ([], 0)
 
         for batch in batches:
@@ -310,7 +376,55 @@ def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK, agree: int
         if n:
             yield from work(True)
 
-    return spread.mapInArrow(run, "a long, b long").distinct()
+    return spread.mapInArrow(run, "a long, b long, distance long")
+
+
+# -- similar texts
+
+
+def wide_tables(nodes: int) -> np.ndarray:
+    """Masks of the tables for so many fingerprints: a row of WIDE_WORDS words for each.
+
+    Keys are long enough for buckets of about WIDE_BUCKET evenly spread fingerprints, and
+    there are so many tables that two texts of similarity SIMILARITY miss all of them with
+    a chance of at most MISSED (bits differ by DIFFERING, independently).
+    """
+    bits = max(8, (max(1, nodes) // WIDE_BUCKET).bit_length())
+    tables = int(np.ceil(np.log(MISSED) / np.log1p(-((1 - DIFFERING) ** bits))))
+    r, chosen = np.random.default_rng(5), []
+    while len(chosen) < tables:  # disjoint sets of bits as long as they last, then others
+        line = r.permutation(BITS * WIDE_WORDS)
+        chosen += [line[k : k + bits] for k in range(0, len(line) - bits + 1, bits)]
+    masks = np.zeros((tables, WIDE_WORDS), dtype=np.uint64)
+    for t, places in enumerate(chosen[:tables]):
+        for x in places.tolist():
+            masks[t, x // BITS] |= np.uint64(1 << x % BITS)
+    return masks
+
+
+def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], block: int = BLOCK) -> DataFrame:
+    """a, b: links between texts of similarity SIMILARITY or more.
+
+    nodes: node, and words w0, w1 ... of its fingerprint. sets_of: from a frame of nodes,
+    one column, to their node, shingles (distinct hashes). Pairs within SURE bits are links; pairs within WIDE_RADIUS bits are links
+    if their sets' Jaccard similarity says so.
+    """
+    words = [f"w{k}" for k in range(WIDE_WORDS)]
+    masks = wide_tables(nodes.count()).view(np.int64).tolist()
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), *[F.lit(x).cast("long").alias(w) for w, x in zip(words, m, strict=True)]) for t, m in enumerate(masks)])
+    keys = F.transform(tables, lambda m: F.struct(m["t"].alias("t"), F.xxhash64(m["t"], *[F.col(w).bitwiseAND(m[w]) for w in words]).alias("key")))
+    rows = nodes.select("node", *words, F.inline(keys))
+    found = _forests(_in_units(rows, "node", block), words, "node", WIDE_RADII)
+    found = checkpointed(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct())
+    sure, open_ = found.filter(F.col("distance") <= SURE), found.filter(F.col("distance") > SURE)
+    # Only sets of texts that an open pair names are moved.
+    named = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = checkpointed(sets_of(named))
+    one, two = (sets.select(_anew("node").alias(f"k{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    pairs = open_.join(one, _anew("a") == F.col("ka")).join(two, _anew("b") == F.col("kb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    alike = pairs.filter(both >= SIMILARITY * (F.size("sa") + F.size("sb") - both))
+    return sure.select("a", "b").union(alike.select("a", "b"))
 
 
 # -- components
@@ -371,16 +485,35 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE,
     return docs.join(known, _anew("fp") == F.col("node")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows, all columns, with one row of each component.
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """df's rows, all columns, with one row of each group of similar texts (similarity SIMILARITY or more, linked).
 
     That is the row with the smallest id (null last); of rows that repeat it, the first by
-    fingerprint and row number.
+    row number. Texts with equal sets of shingles, such as all without words, are alike.
     """
     numbered, key = keyed(df)
-    docs = checkpointed(fingerprints(numbered, SHINGLE, id_col, text_col, key))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row")))
-    nodes = checkpointed(docs.groupBy("fp").agg(F.min("doc_id").alias("low"), first["row"].alias("first")))
-    label = components(nodes.select("fp", "low"), links(nodes.select("fp"), radius)).filter("fp <> node").select(F.col("fp").alias("other"))
-    kept = nodes.join(label, _anew("fp") == _anew("other"), "left_anti").select(F.col("first").alias("keep"))
+    bounded_batches(df.sparkSession)
+    texts = id_and_text(numbered, id_col, text_col, key)
+    words = [f"w{k}" for k in range(WIDE_WORDS)]
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t.as_py()) for t in b.column(1)]
+            fp = np.array([wide_fingerprint(x) for x in sets], dtype=np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
+            same = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), same, *(pa.array(fp[:, k]) for k in range(WIDE_WORDS))], ["doc_id", "row", "same", *words])
+
+    def run_sets(batches):
+        for b in batches:
+            sets = pa.array([shingle_set(t.as_py()).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(2), sets], ["node", "shingles"])
+
+    docs = checkpointed(texts.mapInArrow(run, ", ".join(["doc_id long, row long, same binary", *(f"{w} long" for w in words)])))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))).alias("first")
+    nodes = docs.groupBy("same").agg(first, *[F.min(w).alias(w) for w in words])
+    nodes = checkpointed(nodes.select(F.col("first.row").alias("node"), F.col("first.doc_id").alias("low"), *words))
+    sets_of = lambda some: among(texts, "row", some).mapInArrow(run_sets, "node long, shingles array<long>")
+    links_ = similar_links(nodes.drop("low"), sets_of, block)
+    label = components(nodes.select(F.col("node").alias("fp"), "low"), links_).filter("fp <> node").select(F.col("fp").alias("other"))
+    kept = nodes.join(label, _anew("node") == _anew("other"), "left_anti").select(F.col("node").alias("keep"))
     return without(numbered, key, docs.join(kept, F.col("row") == F.col("keep"), "left_anti").select("row")).drop(key)

@@ -224,12 +224,82 @@ def test_chains_become_one_component(spark):
     assert set(got) == set(range(n - 1)) and set(got.values()) == {min((k * 7919) % n + 1 for k in range(1, n - 1))}
 
 
-def test_near_filter_keeps_one_of_each(make):
+def similar_brute(rows, least=0.8):
+    """For each row the smallest id (None last) of its group of texts linked by a Jaccard similarity of their five-word shingles of at least 0.8."""
+    sets = []
+    for _, t in rows:
+        words = [w for w in WHITE.split((t or "").translate(simhash.LOWER)) if w]
+        sets.append(frozenset(" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset())
+    distinct = list(dict.fromkeys(sets))
+    up = list(range(len(distinct)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    have = defaultdict(list)
+    for k, x in enumerate(distinct):
+        for g in x:
+            have[g].append(k)
+    for k, x in enumerate(distinct):
+        met = Counter(j for g in x for j in have[g] if j < k)
+        for j, n in met.items():
+            if n >= least * (len(x) + len(distinct[j]) - n):
+                a, b = root(k), root(j)
+                up[max(a, b)] = min(a, b)
+    place = {x: k for k, x in enumerate(distinct)}
+    low = defaultdict(list)
+    for (i, _), x in zip(rows, sets, strict=True):
+        low[root(place[x])].append(i)
+    return [min((i for i in low[root(place[x])] if i is not None), default=None) for x in sets]
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 8])
+def test_near_filter_keeps_one_of_each(make, block):
     rows = near_copies(5)
     df = make(rows, clash=True)
-    kept = simhash.drop_near_duplicates(df)
+    kept = simhash.drop_near_duplicates(df, block=block)
     assert kept.columns == df.columns
-    assert {r["doc_id"] for r in kept.collect()} == {c for _, _, c in simhash_brute(rows)}
+    assert {r["doc_id"] for r in kept.collect()} == set(similar_brute(rows))
+
+
+def edited_copies(seed, groups=60):
+    """Groups of texts whose copies have edits of all degrees, so that similarities lie on both sides of the limit."""
+    r = random.Random(seed)
+    rows = []
+    for _ in range(groups):
+        words = [r.choice("abcdefghij") * r.randint(1, 4) + str(r.randint(0, 999)) for _ in range(r.choice([12, 60, 200, 600]))]
+        for _ in range(r.randint(1, 6)):
+            mine = list(words)
+            for _ in range(r.randint(0, max(1, len(mine) // 25))):
+                at = r.randrange(len(mine))
+                mine[at : at + r.choice([0, 1])] = [r.choice(["edited", "other"]) + str(r.randint(0, 99))]
+            rows.append((len(rows), " ".join(mine)))
+    return rows
+
+
+def test_near_filter_finds_similar_texts(make, sample):
+    rows = sample + [(i + 100_000, t) for i, t in edited_copies(3)]
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(make(rows)).collect()}
+    want = set(similar_brute(rows))
+    every = {i for i, _ in rows}
+    assert want <= kept  # nothing goes without a similar text
+    assert len(every - kept) >= 0.97 * len(every - want)
+
+
+def test_tables_of_wide_fingerprints_reach_similar_texts():
+    r = random.Random(4)
+    for nodes in (100, 100_000, 10_000_000):
+        masks = simhash.wide_tables(nodes)
+        met = tries = 0
+        for _ in range(60):
+            a = [str(r.getrandbits(40)) for _ in range(404)]
+            b = a[:356] + [str(r.getrandbits(40)) for _ in range(48)]  # 352 of 448 shingles in common
+            x, y = (simhash.wide_fingerprint(simhash.shingle_set(" ".join(t))) for t in (a, b))
+            tries += 1
+            met += bool((((x ^ y) & masks) == 0).all(axis=1).any()) and int(np.bitwise_count(x ^ y).sum()) <= simhash.WIDE_RADIUS
+        assert met >= 0.9 * tries and masks.any(axis=1).all()
 
 
 #: Ids that repeat with other texts, rows that repeat id and text, null ids: and what must stay.
@@ -245,11 +315,11 @@ def test_filters_decide_by_row(make, drop):
     assert drop(df).columns == df.columns
 
 
-def test_near_filter_keeps_one_row_of_each_component(make):
+def test_near_filter_keeps_one_row_of_each_group(make):
     rows = near_copies(6, 8)
     again = [(i if i % 3 else None, t) for i, t in rows] + rows
     got = simhash.drop_near_duplicates(make(again)).collect()
-    assert Counter(r["doc_id"] for r in got) == Counter({c for _, _, c in simhash_brute(again)})
+    assert Counter(r["doc_id"] for r in got) == Counter(set(similar_brute(again)))
 
 
 # -- fingerprints

@@ -307,7 +307,7 @@ def test_redaction_equals_brute_force(make):
 
 def test_pipeline_stage_by_stage(spark, tmp_path):
     import corpus_pipeline as c
-    from test_duplicates import exact_brute, simhash_brute
+    from test_duplicates import exact_brute, similar_brute
     from tokenizers import Tokenizer
 
     sf = "/root/testdata/sf0.01"
@@ -324,7 +324,8 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     model = quality.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
     assert sorted(rows["quality"]) == sorted((i, t) for i, t in before if model.score(t) >= 0.3)
     assert sorted(i for i, _ in rows["exact_dedup"]) == sorted(i for (i, _, _, kept, _), n in exact_brute(rows["quality"]).items() if kept for _ in range(n))
-    assert {i for i, _ in rows["near_dedup"]} == {low for _, _, low in simhash_brute(rows["exact_dedup"])}
+    similar, near = set(similar_brute(rows["exact_dedup"])), {i for i, _ in rows["near_dedup"]}
+    assert similar <= near and len(near - similar) <= 0.03 * (len(rows["exact_dedup"]) - len(similar)) and len(near) == len(rows["near_dedup"])
     texts = dict(rows["near_dedup"])
     assert {i for i, _ in rows["pii"]} == set(texts)
     assert all(base_spans(t) == [] for _, t in rows["pii"])
