@@ -353,12 +353,86 @@ def test_fingerprints(make, sample):
     assert got[5001]["fingerprint"] == "" and len(got[5000]["fingerprint"]) == 16
 
 
+def next_texts(docs):
+    return fingerprints.with_next(fingerprints.met(docs.withColumn("tie", F.xxhash64("text"))), ["text"])
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def spark_hash(words):
+    """Spark's XXH64 of several strings: each one's hash is the next one's seed."""
+    seed = 42
+    for w in words:
+        seed = xxhash.xxh64_intdigest(w.encode(), seed=seed)
+    return signed(seed)
+
+
+def sketch_brute(text):
+    words = [w for w in WHITE.split(text) if w]
+    hashes = {spark_hash(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    return {h for h in hashes if h < -(1 << 63) + (1 << 64) // 8}, min(hashes, default=None)
+
+
+def printed_brute(text):
+    sketch, lowest = sketch_brute(text)
+    return "".join(f"{h % (1 << 64):016x}" for h in sorted(sketch) or ([] if lowest is None else [lowest]))
+
+
+def likeness_brute(a, b):
+    (x, p), (y, q) = sketch_brute(a), sketch_brute(b)
+    return len(x & y) / len(x | y) if x | y else float(p == q)
+
+
+def test_fingerprints_equal_brute_force(make, sample):
+    r = random.Random(12)
+    rows = sample[:300] + [(50_000 + k, " ".join(r.choice("abcdef") for _ in range(r.randint(0, 12)))) for k in range(400)]
+    text = dict(rows)
+    ids = sorted(text, reverse=True)
+    after = dict(zip(ids, ids[1:] + ids[:1], strict=True))
+    for row in fingerprints.compare_with_next(make(rows)).collect():
+        t, nxt = text[row["doc_id"]], text[after[row["doc_id"]]]
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        assert row["fingerprint"] == printed_brute(t) and row["edited_fingerprint"] == printed_brute(edited)
+        assert row["near_edited"] == pytest.approx(likeness_brute(t, edited)) and row["near_next"] == pytest.approx(likeness_brute(t, nxt))
+
+
+def test_sketches_of_short_parts_merge(make):
+    r = random.Random(13)
+    words = [f"w{r.randint(0, 10**6)}" for _ in range(600)]
+    parts = [" ".join(words[k : k + 9]) for k in range(0, 596, 5)]  # every shingle lies in a part
+    rows = [(k, t) for k, t in enumerate(parts)] + [(-1, " ".join(words))]
+    got = {r["doc_id"]: r["sketch"] for r in fingerprints.fingerprint(make(rows)).collect()}
+    whole = got.pop(-1)
+    assert set().union(*got.values()) == set(whole) and any(not x for x in got.values())
+    spark = make(rows).sparkSession
+    assert spark.createDataFrame([(list(got.values()),)], "s array<array<bigint>>").select(fingerprints.merged(F.col("s"))).head()[0] == whole
+
+
 def test_next_document_over_many_buckets(make, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 2)
     monkeypatch.setattr(fingerprints, "BINS", 4)
-    ids = sorted({(k * k * 31) % 100_003 - 500 for k in range(300)}, reverse=True)
-    got = fingerprints.with_next(make([(i, f"t{i}") for i in ids]), ["text"])
-    assert {r["doc_id"]: r["next"]["text"] for r in got.collect()} == {i: f"t{j}" for i, j in zip(ids, ids[1:] + ids[:1], strict=True)}
+    clustered = [10**15 + k for k in range(200)] + [-(10**15) + 3 * k for k in range(50)] + [7, 8]
+    for ids in (sorted({(k * k * 31) % 100_003 - 500 for k in range(300)}, reverse=True), sorted(clustered, reverse=True)):
+        docs = make([(i, f"t{i}") for i in ids])
+        got = next_texts(docs)
+        assert {r["doc_id"]: r["next"]["text"] for r in got.collect()} == {i: f"t{j}" for i, j in zip(ids, ids[1:] + ids[:1], strict=True)}
+        sizes = [r["count"] for r in fingerprints.with_bucket(docs.withColumn("tie", F.xxhash64("text"))).groupBy("bucket").count().collect()]
+        assert max(sizes) <= 8  # by rank, however the ids lie
+
+
+def test_hot_ids_are_dealt_out(make, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(fingerprints, "BINS", 8)
+    rows = [(5, f"five {k}") for k in range(300)] + [(None, f"none {k}") for k in range(300)] + [(10 + k, f"t{k}") for k in range(300)]
+    docs = make(rows).withColumn("tie", F.xxhash64("text"))
+    sizes = [r["count"] for r in fingerprints.with_bucket(docs).groupBy("bucket").count().collect()]
+    assert sum(sizes) == 900 and max(sizes) <= 20
+    tie = {t: signed(xxhash.xxh64_intdigest(t.encode(), seed=42)) for _, t in rows}
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, tie[x[1]]), reverse=True)
+    want = {t: u for (_, t), (_, u) in zip(order, order[1:] + order[:1], strict=True)}
+    assert {r["text"]: r["next"]["text"] for r in next_texts(make(rows)).collect()} == want
 
 
 def test_fingerprint_edges(make, odd):
@@ -366,7 +440,7 @@ def test_fingerprint_edges(make, odd):
     one = fingerprints.compare_with_next(make([(3, "a b c d e f g")])).head()
     assert one["near_next"] == 1.0 and one["n_chars"] == 13
     assert fingerprints.compare_with_next(make([])).count() == 0
-    nulls = fingerprints.with_next(make([(2, "b"), (1, "a"), (None, "n")]), ["text"]).collect()
+    nulls = next_texts(make([(2, "b"), (1, "a"), (None, "n")])).collect()
     assert {r["text"]: r["next"]["text"] for r in nulls} == {"b": "a", "a": "n", "n": "b"}
     assert fingerprints.compare_with_next(make([(None, None), (None, "x")])).count() == 2
 
