@@ -112,13 +112,13 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int | None = None) -> tuple[DataFrame, dict[int, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """A bounded training sample, and how many training labels of each class (0 and 1) there are.
 
     docs has doc_id and text. Labels of held-out rows, nulls, values other than 0 and 1,
     and ids with contradictory labels are not used. Of each class the per_class ids with
     the lowest hashes are taken, so the sample depends on the ids alone; the few rows
-    left are broadcast to the documents. most_bytes leaves out longer texts. The sample
+    left are broadcast to the documents. Texts of any length are taken whole. The sample
     (doc_id, text, label, half) is checkpointed; half splits it in two by another hash.
     """
     own = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label"))
@@ -128,7 +128,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     parts = [own.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     chosen = F.broadcast(parts[0].union(parts[1]))  # at most 2 * per_class rows of two numbers
     rows = docs.join(chosen, "doc_id")
-    if most_bytes is not None:
-        rows = rows.filter(F.octet_length("text") <= most_bytes)
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")
     return checkpointed(rows.select("doc_id", "text", "label", half.alias("half"))), sizes
