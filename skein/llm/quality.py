@@ -3,14 +3,17 @@
 A text is cut into blocks of BLOCK bytes. Each block is compressed with a dictionary
 built from good text and with one built from bad text; small blocks make the dictionary
 count throughout a long text. The difference of the two sums over their sum, also
-saturated (a large difference says little more than a moderate one), with the
-compressed size for each byte (very repetitive text is small under either dictionary),
-goes through a logistic calibration fitted on other labelled documents than the
-dictionaries were built from. Labels, language, source and id are no inputs of a score.
+saturated (a large difference says little more than a moderate one), goes through a
+logistic calibration fitted on other labelled documents than the dictionaries were built
+from. The calibration also knows the compressed size for each byte: the difference of a
+very repetitive text is small under any pair of dictionaries and has to be read by it.
+Labels, language, source and id are no inputs of a score.
 
 Bounds of the fit, whatever the corpus's size: SAMPLE_DOCS labelled documents of each
-class, at most SAMPLE_BLOCKS blocks of each, spread evenly over the whole text.
-Classes are weighted back to their shares among the training labels.
+class, whole texts, half of them for the dictionaries and half for the calibration; of
+all blocks of the former the TRAIN_BLOCKS of each class with the lowest hashes, which is
+all of them unless they exceed that. Classes are weighted back to their shares among the
+training labels.
 
 Results for special inputs: a null text counts as empty; an empty text has no blocks,
 both measures are zero, and it gets the score calibrated for that. Without labels of
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import bounded_batches, id_and_text, labelled_sample
 
-SAMPLE_DOCS, SAMPLE_BLOCKS = 2500, 6
+SAMPLE_DOCS, TRAIN_BLOCKS = 2500, 20_000
 BLOCK, DICTIONARY, LEVEL = 1024, 112 << 10, 3
 MEASURES = 5
 SMOOTH = 40  # bytes added to sizes, so that very short texts differ little
@@ -115,21 +118,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def cut(batches):
         for b in batches:
-            label, out = [], []
-            for text, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for label, text in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True):
                 every = blocks(text.encode())
-                for i in sorted({len(every) * j // SAMPLE_BLOCKS for j in range(SAMPLE_BLOCKS)} if every else ()):
-                    label.append(k)
-                    out.append(every[i])
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(out, pa.binary())], ["label", "block"])
-
-    # At most 2 * SAMPLE_DOCS * SAMPLE_BLOCKS blocks of BLOCK bytes reach the driver.
-    built = sample.filter("half = 0").select("text", "label").mapInArrow(cut, "label int, block binary").collect()
-    parts = [sorted(bytes(r["block"]) for r in built if r["label"] == k) for k in (0, 1)]
+                for i in range(0, len(every), 1000):
+                    part = every[i : i + 1000]
+                    yield pa.RecordBatch.from_arrays([pa.array([label] * len(part), pa.int32()), pa.array(part, pa.binary())], ["label", "block"])
+
+    built = sample.filter("half = 0").select("text", "label").mapInArrow(cut, "label int, block binary")
+    # At most TRAIN_BLOCKS blocks of BLOCK bytes of each class reach the driver.
+    parts = [[bytes(r["block"]) for r in built.filter(F.col("label") == k).orderBy(F.xxhash64("block"), "block").limit(TRAIN_BLOCKS).select("block").collect()] for k in (0, 1)]
     if not all(parts):
         return constant
-    order = np.random.default_rng(1)
-    bad, good = (dictionary([p[i] for i in order.permutation(len(p))]) for p in parts)
+    bad, good = map(dictionary, parts)
 
     def measure(batches):
         for b in batches:

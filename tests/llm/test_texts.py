@@ -211,6 +211,33 @@ def test_quality_on_held_out_documents(documents):
     assert again == model  # neither order nor partitioning matters
 
 
+def logistic(z):
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_equals_brute_force(spark, documents):
+    import zstandard
+
+    from skein.llm.common import id_and_text, labelled_sample
+
+    docs, labels = documents
+    model = quality.fit(docs, labels)
+    sample, _ = labelled_sample(id_and_text(docs), labels, "quality", quality.SAMPLE_DOCS)
+    rows = [(r["text"].encode(), r["label"]) for r in sample.filter("half = 0").collect()]
+    for label, content in ((0, model.bad), (1, model.good)):
+        every = [t[k : k + 1024] for t, y in rows if y == label for k in range(0, len(t), 1024)]
+        hashed = [r["block"] for r in spark.createDataFrame([(bytearray(x),) for x in every], "block binary").orderBy(F.xxhash64("block"), "block").limit(20_000).collect()]
+        assert content == zstandard.train_dictionary(112 << 10, [bytes(x) for x in hashed]).as_bytes()
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    pack = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_checksum=False, write_dict_id=False) for x in (model.bad, model.good)]
+    for i, text in docs.select("doc_id", "text").limit(400).collect():
+        raw = (text or "").encode()
+        bad, good = (sum(len(c.compress(raw[k : k + 1024])) for k in range(0, len(raw), 1024)) for c in pack)
+        size = np.log((bad + good + 40) / (2 * len(raw) + 40))
+        d = 10 * (bad - good) / (bad + good) if raw else 0.0
+        assert got[i] == pytest.approx(logistic(np.dot(model.weights, [1, d, size, size * size, np.tanh(d), np.tanh(4 * d)])), abs=1e-9)
+
+
 def test_quality_edges(make, documents, odd):
     docs, labels = documents
     model = quality.fit(docs, labels)
@@ -236,6 +263,26 @@ def test_toxicity_on_held_out_documents(documents):
     assert toxicity.fit(docs.repartition(7), labels.repartition(5)).weights == model.weights
 
 
+def test_toxicity_equals_brute_force(documents):
+    from skein.llm.common import id_and_text, labelled_sample
+
+    docs, labels = documents
+    model = toxicity.fit(docs, labels)
+    sample, _ = labelled_sample(id_and_text(docs), labels, "toxic", toxicity.SAMPLE_DOCS)
+    rows = sorted((r["doc_id"], r["text"], r["label"]) for r in sample.collect())
+    assert max(len(t) for _, t, _ in rows) > 20_000  # long texts count as others do
+    here = toxicity.train([[words for _, _, words in toxicity.sentences(t)] for _, t, _ in rows], np.array([y for _, _, y in rows], dtype=float))
+    assert set(here) == set(model.weights) and all(here[f] == pytest.approx(x, abs=1e-6) for f, x in model.weights.items())
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for i, text in docs.select("doc_id", "text").limit(400).collect():
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n|]", text or ""):
+            words = {w for w in re.findall(r"[^\W\d_]+", sentence.lower())}
+            evidence = sum(model.weights.get(w, 0) + sum(model.weights.get("^" + w[:k], 0) for k in (4, 5, 6, 7) if len(w) > k) for w in words)
+            clean *= 1 - max(0.0, logistic(-6 + evidence) - logistic(-6)) if words else 1
+        assert got[i] == pytest.approx(1 - clean, abs=1e-6)
+
+
 def test_offending_sentences_are_located(make, odd):
     r = random.Random(1)
     plain = ["the sun is out", "we went home", "it rained a lot", "rivers run deep", "bread is warm"]
