@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from skein.model import GraphError, QueryOptions
-from skein.operators.triangles import count_triangles, list_triangles
+from skein.operators.triangles import count_triangles, list_triangles, planned
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -36,21 +36,16 @@ def printed(triangles: DataFrame, most: int = 20) -> list[str]:
     return [f"{k}: [{r['a']}, {r['b']}, {r['c']}]" for k, r in enumerate(rows, 1)]
 
 
-def batch_of(edges: DataFrame, batches: int, batch: int) -> DataFrame:
-    """Canonical edges whose source is in the batch (source id modulo the number of batches)."""
-    return edges.filter(F.pmod(F.col("src"), F.lit(batches)) == batch)
+def triangle_batches(edges: DataFrame, options: QueryOptions) -> Iterator[DataFrame]:
+    """Disjoint parts of the triangle listing, one at a time: output of bounded size.
 
-
-def triangle_batches(edges: DataFrame, batches: int) -> Iterator[DataFrame]:
-    """Disjoint parts of the triangle listing, one at a time: output of bounded size without a second pass."""
-    from skein.operators.adjacency import adjacency
-    from skein.plans.physical import rekeyed
-
-    far = adjacency(edges).select(rekeyed("src").alias("k"), F.col("nbrs").alias("far"))
-    for k in range(batches):
-        rows = adjacency(batch_of(edges, batches, k)).select("src", "nbrs", F.posexplode("nbrs").alias("p", "y")).filter("p > 0")
-        rows = rows.select(F.col("src").alias("a"), F.col("y").alias("b"), F.slice("nbrs", F.lit(1), F.col("p")).alias("rest"))
-        yield rows.join(far, rekeyed("b") == F.col("k")).select("a", "b", F.explode_outer(F.array_intersect("rest", "far")).alias("c")).filter("c IS NOT NULL")
+    A part has the triangles found from the sources whose id leaves its number as the
+    remainder by options.batches, by the plan that options ask for; what the parts share
+    is made once.
+    """
+    plan = planned(edges, options)
+    for k in range(options.batches):
+        yield plan(F.pmod(F.col("src"), F.lit(options.batches)) == k)
 
 
 def batch_counts(edges: DataFrame, batches: int) -> DataFrame:
@@ -77,7 +72,7 @@ def run(edges: DataFrame, options: QueryOptions = QueryOptions(), path: str | No
     with verify it must equal the count query's.
     """
     began, counts = time.perf_counter(), []
-    parts = [list_triangles(edges, options)] if options.batches == 1 else triangle_batches(edges, options.batches)
+    parts = [list_triangles(edges, options)] if options.batches == 1 else triangle_batches(edges, options)
     for k, part in enumerate(parts):
         seen = Observation(f"batch {k}")
         part = part.observe(seen, F.count(F.lit(1)).alias("n"))

@@ -7,18 +7,19 @@ INTERSECT keeps wedges inside arrays, ARROW inside numpy arrays of bounded lengt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.bits import bitmap_bucket, get_bit, set_bits
+from skein.functions.bits import bitmap_bucket, get_bit_two_level, set_bits, set_upper_bits
 from skein.model import GraphTooLarge, Orientation, QueryOptions, Strategy
 from skein.operators.adjacency import adj_sizes, adjacency
 from skein.operators.prepare import oriented, oriented_by_degree
-from skein.plans.physical import parallelism, rekeyed
+from skein.plans.physical import cut_lineage, parallelism, rekeyed
 
 #: Edges of a graph that ARROW may broadcast (16 bytes each).
 ARROW_EDGES = 20_000_000
@@ -47,34 +48,30 @@ def closed(wedge: DataFrame, edges: DataFrame) -> DataFrame:
     return wedge.join(e, ["a", "c"], "left_semi").select("a", "b", "c")
 
 
-def _by_join(edges: DataFrame) -> DataFrame:
-    e = edges.select(F.col("src").alias("a"), F.col("dst").alias("c"))
-    return wedges(edges).join(e, ["a", "c"]).select("a", "b", "c")
-
-
-def _by_semi(edges: DataFrame) -> DataFrame:
-    return closed(wedges(edges), edges)
+def _lists(edges: DataFrame, orientation: Orientation, partitions: int | None = None) -> DataFrame:
+    """src, nbrs: neighbours in rank order, by id ascending, or by (degree, id)."""
+    # A partition's edges are few bytes but expand to many rows: they are dealt out by number,
+    # which adaptive execution doesn't coalesce by size.
+    n = partitions or parallelism(edges)
+    if orientation is Orientation.ID:
+        return adjacency(edges.repartition(n, "src"))
+    ranked = oriented_by_degree(edges).repartition(n, "src")
+    return ranked.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst_deg", "dst"))).alias("l")).select("src", F.col("l.dst").alias("nbrs"))
 
 
-def _common(edges: DataFrame, orientation: Orientation, partitions: int | None = None) -> DataFrame:
-    """x, y, common: for every edge that may have any, the vertices that close triangles with it.
+def _common(adj: DataFrame, orientation: Orientation, part: Column | None = None) -> DataFrame:
+    """x, y, common: for every edge that may have any, the vertices that close triangles with it; part: a condition on src.
 
     A source's list is in rank order, so the third vertex of a triangle over the list's
     p-th entry lies before it (by id, larger first) or behind it (by degree, lower
     first), and only that part of the list travels with the edge.
     """
-    # A partition's edges are few bytes but expand to many rows: they are dealt out by number,
-    # which adaptive execution doesn't coalesce by size.
-    deal = lambda e: e.repartition(partitions or parallelism(edges), "src")
+    own = adj if part is None else adj.filter(part)
+    rows = own.select("src", "nbrs", F.posexplode("nbrs").alias("p", "y"))
     if orientation is Orientation.ID:
-        adj = adjacency(deal(edges))
-        rows = adj.select("src", "nbrs", F.posexplode("nbrs").alias("p", "y")).filter("p > 0")
-        rows = rows.select(F.col("src").alias("x"), "y", F.slice("nbrs", F.lit(1), F.col("p")).alias("rest"))
+        rows = rows.filter("p > 0").select(F.col("src").alias("x"), "y", F.slice("nbrs", F.lit(1), F.col("p")).alias("rest"))
     else:
-        ranked = deal(oriented_by_degree(edges))
-        lists = ranked.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst_deg", "dst"))).alias("l"))
-        adj = lists.select("src", F.col("l.dst").alias("nbrs"))
-        rows = adj.select("src", "nbrs", F.posexplode("nbrs").alias("p", "y")).filter(F.col("p") + 1 < F.size("nbrs"))
+        rows = rows.filter(F.col("p") + 1 < F.size("nbrs"))
         rows = rows.select(F.col("src").alias("x"), "y", F.slice("nbrs", F.col("p") + 2, F.size("nbrs") - F.col("p") - 1).alias("rest"))
     other = adj.select(rekeyed("src").alias("k"), F.col("nbrs").alias("far"))
     return rows.join(other, rekeyed("y") == F.col("k")).select("x", "y", F.array_intersect("rest", "far").alias("common"))
@@ -85,9 +82,9 @@ def _sorted_triple(x: Column, y: Column, z: Column) -> list[Column]:
     return [top.alias("a"), x.bitwiseXOR(y).bitwiseXOR(z).bitwiseXOR(top).bitwiseXOR(low).alias("b"), low.alias("c")]
 
 
-def _by_intersection(edges: DataFrame, orientation: Orientation, partitions: int | None) -> DataFrame:
+def _by_intersection(adj: DataFrame, orientation: Orientation, part: Column | None = None) -> DataFrame:
     # explode() would add a filter on the array's size, and with it a second intersection.
-    rows = _common(edges, orientation, partitions).select("x", "y", F.explode_outer("common").alias("z")).filter("z IS NOT NULL")
+    rows = _common(adj, orientation, part).select("x", "y", F.explode_outer("common").alias("z")).filter("z IS NOT NULL")
     if orientation is Orientation.ID:
         return rows.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("z").alias("c"))
     return rows.select(*_sorted_triple(F.col("x"), F.col("y"), F.col("z")))
@@ -127,20 +124,6 @@ def expand_edges(ids: np.ndarray, offsets: np.ndarray, nbrs: np.ndarray, src: np
         yield ids[a[edge[hit]]], ids[b[edge[hit]]], ids[c[hit]]
 
 
-def _by_arrow(edges: DataFrame) -> DataFrame:
-    spark = edges.sparkSession
-    shared = spark.sparkContext.broadcast(_compressed(edges))
-
-    def run(batches):
-        ids, offsets, nbrs = shared.value
-        for batch in batches:
-            if batch.num_rows:
-                for found in expand_edges(ids, offsets, nbrs, batch.column(0).to_numpy(), batch.column(1).to_numpy()):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b", "c"])
-
-    return edges.select("src", "dst").mapInArrow(run, "a long, b long, c long")
-
-
 def best_orientation(edges: DataFrame) -> Orientation:
     """By degree where some list would be far longer than degree order allows, else by id. One aggregation."""
     got = adj_sizes(edges).agg(F.max("deg").alias("most"), F.sum("deg").alias("n")).head()
@@ -149,29 +132,71 @@ def best_orientation(edges: DataFrame) -> Orientation:
     return Orientation.DEGREE if got["most"] > 64 + 2 * (2 * got["n"]) ** 0.5 else Orientation.ID
 
 
-def list_triangles(edges: DataFrame, options: QueryOptions | Strategy | str = Strategy.AUTO) -> DataFrame:
-    """TRIANGLE rows of canonical edges, by the plan asked for."""
-    o = options if isinstance(options, QueryOptions) else QueryOptions(strategy=Strategy(options))
-    strategy = o.strategy
-    if strategy is Strategy.AUTO:
-        strategy = Strategy.INTERSECT
+def decided(edges: DataFrame, orientation: Orientation | None) -> tuple[DataFrame, Orientation]:
+    """Edges and their orientation. Where it has to be found out, edges are derived once and checkpointed for both uses."""
+    if orientation is None:
+        edges = edges if edges.is_cached else cut_lineage(edges.select("src", "dst"))
+        orientation = best_orientation(edges)
+    return edges, orientation
+
+
+def planned(edges: DataFrame, options: QueryOptions = QueryOptions()) -> Callable[[Column | None], DataFrame]:
+    """What lists the triangles of canonical edges by the plan asked for: all of them, or those found from the sources that a condition on src picks.
+
+    What all parts share (orientation, lists, the broadcast graph) is made once; with
+    batches it is checkpointed, so that no batch derives it again.
+    """
+    o = options
+    strategy = Strategy.INTERSECT if o.strategy is Strategy.AUTO else o.strategy
+    held = cut_lineage if o.batches > 1 else lambda df: df
     if strategy is Strategy.INTERSECT:
-        return _by_intersection(edges, o.orientation or best_orientation(edges), o.partitions)
+        edges, orientation = decided(edges, o.orientation)
+        adj = held(_lists(edges, orientation, o.partitions))
+        return lambda part=None: _by_intersection(adj, orientation, part)
     if strategy is Strategy.ARROW:
+        shared = edges.sparkSession.sparkContext.broadcast(_compressed(edges))
         if o.balance:
             from skein.plans.balance import dealt_by_work
 
             edges = dealt_by_work(edges, o.partitions or parallelism(edges))
-        return _by_arrow(edges)
+        edges = held(edges)
+        return lambda part=None: _by_arrow(edges if part is None else edges.filter(part), shared)
     if o.orientation is Orientation.DEGREE:
-        rows = (_by_join if strategy is Strategy.JOIN else _by_semi)(oriented(edges, Orientation.DEGREE))
-        return rows.select(*_sorted_triple(F.col("a"), F.col("b"), F.col("c")))
-    return (_by_join if strategy is Strategy.JOIN else _by_semi)(edges)
+        edges = oriented(edges, Orientation.DEGREE)
+    edges = held(edges)
+
+    def by_wedges(part: Column | None = None) -> DataFrame:
+        wedge = wedges(edges if part is None else edges.filter(part), edges)
+        if strategy is Strategy.SEMI:
+            rows = closed(wedge, edges)
+        else:
+            rows = wedge.join(edges.select(F.col("src").alias("a"), F.col("dst").alias("c")), ["a", "c"]).select("a", "b", "c")
+        return rows.select(*_sorted_triple(F.col("a"), F.col("b"), F.col("c"))) if o.orientation is Orientation.DEGREE else rows
+
+    return by_wedges
+
+
+def _by_arrow(edges: DataFrame, shared) -> DataFrame:
+    def run(batches):
+        ids, offsets, nbrs = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                for found in expand_edges(ids, offsets, nbrs, batch.column(0).to_numpy(), batch.column(1).to_numpy()):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b", "c"])
+
+    return edges.select("src", "dst").mapInArrow(run, "a long, b long, c long")
+
+
+def list_triangles(edges: DataFrame, options: QueryOptions | Strategy | str = Strategy.AUTO) -> DataFrame:
+    """TRIANGLE rows of canonical edges, by the plan asked for."""
+    o = options if isinstance(options, QueryOptions) else QueryOptions(strategy=Strategy(options))
+    return planned(edges, replace(o, batches=1))(None)
 
 
 def count_triangles(edges: DataFrame, orientation: Orientation | None = None) -> DataFrame:
     """n: the number of triangles, without making a row for each."""
-    common = _common(edges, orientation or best_orientation(edges))
+    edges, orientation = decided(edges, orientation)
+    common = _common(_lists(edges, orientation), orientation)
     return common.agg(F.coalesce(F.sum(F.size("common").cast("long")), F.lit(0)).cast("long").alias("n"))
 
 
@@ -199,10 +224,10 @@ def edge_intersection(edges: DataFrame) -> DataFrame:
 
 
 def bitmap_support(edges: DataFrame) -> DataFrame:
-    """The same by bitmaps: each source's neighbours as bitmaps, wedges tested bit by bit."""
-    maps = edges.groupBy(F.col("src").alias("ms"), bitmap_bucket("dst").alias("mb")).agg(set_bits("dst").alias("bitmap"))
+    """The same by two-level bitmaps: each source's neighbours as bitmaps, wedges tested bit by bit, most rejected by the upper level."""
+    maps = edges.groupBy(F.col("src").alias("ms"), bitmap_bucket("dst").alias("mb")).agg(set_bits("dst").alias("bitmap"), set_upper_bits("dst").alias("upper"))
     w = wedges(edges).withColumn("bucket", bitmap_bucket("c"))
-    hits = w.join(maps, (F.col("a") == F.col("ms")) & (F.col("bucket") == F.col("mb"))).filter(get_bit("bitmap", "c"))
+    hits = w.join(maps, (F.col("a") == F.col("ms")) & (F.col("bucket") == F.col("mb"))).filter(get_bit_two_level("upper", "bitmap", "c"))
     counts = hits.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     return e.join(counts, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0).cast("long")).alias("n_common"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,45 +32,73 @@ def run_kernel(df: DataFrame, kernel: Callable[[pa.RecordBatch, Any], Iterator[p
     return df.mapInArrow(run, schema)
 
 
-def aggregate(df: DataFrame, scope: AttributeScope, init: Callable[[], float], update: Callable[[float, pa.RecordBatch], float], merge: Callable[[float, float], float], key: str | None = None) -> DataFrame:
-    """A user aggregate of one number: zero, add a batch, merge partial results.
+#: Keys whose partial results a task holds before it hands them on.
+MOST_KEYS = 100_000
+
+State = float | Sequence[float]
+
+
+def aggregate(df: DataFrame, scope: AttributeScope, init: Callable[[], State], update: Callable[[State, pa.RecordBatch], State], merge: Callable[[State, State], State], key: str | None = None) -> DataFrame:
+    """A user aggregate: zero, add a batch, merge partial results. A state is a number or a sequence of numbers.
 
     Scope NONE: no rows. GLOBAL: one row value. PARTITION: partition, value for each
-    partition. KEY: key, value; partial results of a key are made in every task and
-    merged after one shuffle, in rows of at most one per key and task.
+    partition. KEY: key (of its own type), value. A task sorts each batch by key, so
+    every row is seen once, and holds at most MOST_KEYS states; partial results of a key
+    are merged after one shuffle. value is a double, or an array of them.
     """
+    many = not isinstance(init(), int | float)
+    out = F.col("state") if many else F.col("state")[0]
     if scope is AttributeScope.NONE:
-        return df.sparkSession.createDataFrame([], "value double")
-    schema = "part long, key string, value double"
+        return df.sparkSession.createDataFrame([], f"value {'array<double>' if many else 'double'}")
+    kind = df.schema[key].dataType.simpleString() if key else "int"
+    schema = f"part long, key {kind}, state array<double>"
+
+    def listed(state: State) -> list[float]:
+        return [float(x) for x in state] if many else [float(state)]
+
+    def back(values: list[float]) -> State:
+        return values if many else values[0]
 
     def partial(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        state: dict[str | None, float] = {}
+        states: dict[Any, State] = {}
+        arrow_kind = pa.int32()
+
+        def handed_on():
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(states), pa.int64()), pa.array(list(states), arrow_kind), pa.array(map(listed, states.values()), pa.list_(pa.float64()))], ["part", "key", "state"])
+            states.clear()
+
         for batch in batches:
             if key is None:
-                state[None] = update(state.get(None, init()), batch)
-            else:
-                names = pa.array([None if x is None else str(x) for x in batch.column(key).to_pylist()], pa.string())
-                for name in names.unique().to_pylist():
-                    wanted = pa.compute.is_null(names) if name is None else pa.compute.equal(names, name)
-                    state[name] = update(state.get(name, init()), batch.filter(wanted))
-        if state:
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(state), pa.int64()), pa.array(list(state), pa.string()), pa.array(list(map(float, state.values())), pa.float64())], ["part", "key", "value"])
+                states[None] = update(states.get(None, init()), batch)
+                continue
+            column = batch.column(key)
+            arrow_kind = column.type
+            codes = column.dictionary_encode()
+            place = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            order = np.argsort(place, kind="stable")
+            place, batch = place[order], batch.take(pa.array(order))
+            first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else []
+            for at, end in zip(first, [*first[1:], len(place)], strict=True):
+                name = None if place[at] < 0 else codes.dictionary[int(place[at])].as_py()
+                states[name] = update(states.get(name, init()), batch.slice(at, end - at))
+            if len(states) > MOST_KEYS:
+                yield from handed_on()
+        if states:
+            yield from handed_on()
 
     def merged(table: pa.Table) -> pa.Table:
-        value = init()
-        for x in table.column("value").to_pylist():
-            value = merge(value, x)
-        return pa.table({"part": table.column("part").slice(0, 1), "key": table.column("key").slice(0, 1), "value": pa.array([float(value)])})
-
-    import pyarrow.compute  # noqa: F401  (used as pa.compute above)
+        state = init()
+        for x in table.column("state").to_pylist():
+            state = merge(state, back(x))
+        return pa.table({"part": table.column("part").slice(0, 1), "key": table.column("key").slice(0, 1), "state": pa.array([listed(state)], pa.list_(pa.float64()))})
 
     rows = df.mapInArrow(partial, schema)
     if scope is AttributeScope.PARTITION:
-        return rows.select(F.col("part").alias("partition"), "value")
+        return rows.select(F.col("part").alias("partition"), out.alias("value"))
     if scope is AttributeScope.KEY:
-        return rows.groupBy("key").applyInArrow(merged, schema).select("key", "value")
+        return rows.groupBy("key").applyInArrow(merged, schema).select("key", out.alias("value"))
     # One row of partial results for each task.
-    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(merged, schema).select("value")
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(merged, schema).select(out.alias("value"))

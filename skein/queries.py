@@ -9,20 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import bits, grid
-from skein.model import AttributeScope, Orientation, QueryOptions, Strategy
+from skein.model import AttributeScope, Graph, Orientation, QueryOptions, Strategy
 from skein.operators import adjacency as adj
 from skein.operators import metadata as meta
 from skein.operators import prepare, sinks
 from skein.operators import triangles as tri
 from skein.plans import balance
 from skein.plans.kernel import aggregate, run_kernel
+from skein.plans.physical import shared_folder
 from skein.sources import blocks
+from skein.sources import edges as edge_sources
 from skein.sources.edges import DERIVED, part_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _options(strategy: Strategy, orientation: Orientation = Orientation.ID, **more) -> QueryOptions:
+def _options(strategy: Strategy, orientation: Orientation | None = None, **more) -> QueryOptions:
     return QueryOptions(strategy=strategy, orientation=orientation, **more)
 
 
@@ -52,7 +54,7 @@ def _closed(edges: DataFrame) -> DataFrame:
 
 def _batches_union(edges: DataFrame) -> DataFrame:
     out = None
-    for part in sinks.triangle_batches(edges, 4):
+    for part in sinks.triangle_batches(edges, QueryOptions(batches=4)):
         out = part if out is None else out.union(part)
     return out
 
@@ -68,21 +70,133 @@ def _relabelled(edges: DataFrame) -> DataFrame:
 
 
 def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nation graph's edges in four batches."""
+    """The part graph's edges in four batches."""
     from skein.streaming.incremental import TriangleStream
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="skein-stream-")
-    stream = TriangleStream(spark, f"{base}/triangle-stream-{uuid.uuid4().hex}")
-    edges = DERIVED["nation"](spark, sf_dir)
+    stream = TriangleStream(spark, f"{shared_folder(spark)}/triangle-stream-{uuid.uuid4().hex}")
+    edges = part_graph(spark, sf_dir)
     for k in range(4):
         stream.add(edges.filter(F.pmod(F.col("src") + F.col("dst"), F.lit(4)) == k), k)
     return stream.triangles()
 
 
+def _kernel_shared(edges: DataFrame) -> DataFrame:
+    """A user kernel with read-only shared data: edges whose source is among the hundred smallest sources, with its place there."""
+    import numpy as np
+    import pyarrow as pa
+
+    least = edges.select("src").distinct().orderBy("src").limit(100).toArrow()  # at most 100 numbers
+
+    def kernel(batch, shared):
+        ids = shared.column("src").to_numpy()
+        src = batch.column(0).to_numpy()
+        at = np.minimum(np.searchsorted(ids, src), len(ids) - 1)
+        hit = pa.array(ids[at] == src)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit), pa.array(at.astype(np.int64)).filter(hit)], ["src", "dst", "place"])
+
+    return run_kernel(edges, kernel, "src long, dst long, place long", least)
+
+
+def _sums(acc, batch):
+    import pyarrow.compute as pc
+
+    return [acc[0] + batch.num_rows, acc[1] + (pc.sum(batch.column("dst")).as_py() or 0), max(acc[2], pc.max(batch.column("dst")).as_py() or 0)]
+
+
+def _add(x, y):
+    return [x[0] + y[0], x[1] + y[1], max(x[2], y[2])]
+
+
+def _three(df: DataFrame, *names: str) -> DataFrame:
+    """Rows, sum and largest dst of a user aggregate of three numbers."""
+    return df.select(*names, *[F.col("value")[k].cast("long").alias(n) for k, n in enumerate(("n", "total", "most"))])
+
+
+def _kernel_by_key(edges: DataFrame) -> DataFrame:
+    return _three(aggregate(edges, AttributeScope.KEY, lambda: [0, 0, 0], _sums, _add, key="src"), "key").withColumnRenamed("key", "src")
+
+
+def _kernel_global(edges: DataFrame) -> DataFrame:
+    return _three(aggregate(edges, AttributeScope.GLOBAL, lambda: [0, 0, 0], _sums, _add))
+
+
+def _kernel_by_partition(edges: DataFrame) -> DataFrame:
+    """Partial results of each partition, added up, as how rows are split is Spark's choice."""
+    parts = aggregate(edges, AttributeScope.PARTITION, lambda: 0.0, lambda acc, b: acc + b.num_rows, lambda x, y: x + y)
+    return parts.agg(F.sum("value").cast("long").alias("n"))
+
+
+def _folder(spark: SparkSession, kind: str) -> str:
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def _through(write, read) -> Query:
+    """The supplier graph's edges after they were written and read again."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _folder(spark, "edges")
+        write(DERIVED["supp"](spark, sf_dir), path)
+        return read(spark, path).edges
+
+    return query
+
+
+def _through_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    DERIVED["supp"](spark, sf_dir).createOrReplaceTempView("skein_edges")
+    return edge_sources.from_table(spark, "skein_edges").edges
+
+
+def _through_block_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "blocks").removeprefix("file://")
+    blocks.write_block_files(DERIVED["supp"](spark, sf_dir), path, bits=6)
+    return spark.read.format("sparse_block").option("bits", 6).load(path)
+
+
+def _parquet_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "triangles")
+    sinks.write_parquet(tri.list_triangles(DERIVED["supp"](spark, sf_dir), Strategy.AUTO), path)
+    return spark.read.parquet(path)
+
+
+def _report(options: list[str], sink: bool) -> Query:
+    """What a run reports: triangles by batch, and whether they were verified; with sink, also the rows that it wrote."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _folder(spark, "run") if sink else None
+        got = sinks.run(DERIVED["nation"](spark, sf_dir), QueryOptions.parse(options), path)
+        wrote = spark.read.parquet(path).count() if path else 0
+        rows = [(k, n, got.n_triangles, bool(got.ok), got.seconds > 0, wrote) for k, n in enumerate(got.batches)]
+        return spark.createDataFrame(rows, "batch int, n long, n_triangles long, ok boolean, timed boolean, n_written long")
+
+    return query
+
+
+def _cached(edges: DataFrame) -> DataFrame:
+    """Opened, described while it is held, closed."""
+    graph = Graph(edges, "part").cached()
+    held = graph.is_cached()
+    row = graph.info().head()
+    graph.close()
+    return edges.sparkSession.createDataFrame([(*row, held, graph.is_cached())], "n_vertices long, n_edges long, n_nonempty_rows long, held boolean, closed_held boolean")
+
+
+def _grid_order(edges: DataFrame) -> DataFrame:
+    """Non-empty blocks in the order of a column-wise walk over the grid."""
+    cells = meta.block_stats(edges, 8)
+    side = cells.agg(F.max(F.greatest("block_row", "block_col")) + 1).head()[0]
+    return cells.select("block_row", "block_col", "n_edges", grid.column_major("block_row", "block_col", int(side or 1)).alias("place")).orderBy("place")
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of ids cut in halves, as work is split."""
+    rows = [(n, step, *(x for part in balance.split_range(0, n, step) for x in (part.start, part.stop, len(part)))) for n in (0, 1, 7, 100, 1001) for step in (1, 3)]
+    return spark.createDataFrame(rows, "n long, step long, low1 long, high1 long, n1 long, low2 long, high2 long, n2 long")
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(1).select(*[F.lit(x).cast("long").alias(n) for n, x in (("kib", bits.KIB), ("mib", bits.MIB), ("gib", bits.GIB), ("tib", bits.TIB))])
+
+
 def _scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"))
     lower, upper = bits.bitmap_level_sizes("k")
@@ -131,7 +245,7 @@ QUERIES: dict[str, Query] = {
     **{f"edges_{name}": make for name, make in DERIVED.items()},
     "canonical_edges": lambda s, d: prepare.canonical_edges(_raw_part_pairs(s, d)),
     "edges_relabelled": _on_part(_relabelled),
-    "edges_sorted": lambda s, d: prepare.ordered(DERIVED["nation"](s, d)),
+    "edges_sorted": _on_part(prepare.ordered),
     "graph_info": _on_part(meta.graph_info),
     "cell_bounds": _on_part(meta.cell_bounds),
     "block_stats": _on_part(lambda e: meta.block_stats(e, 8)),
@@ -164,9 +278,9 @@ QUERIES: dict[str, Query] = {
     "triangles_auto": _listing("part", QueryOptions()),
     "triangles_batches": _on_part(_batches_union),
     "triangles_batch_counts": _on_part(lambda e: sinks.batch_counts(e, 4)),
-    "triangles_count": _on_part(lambda e: tri.count_triangles(e, Orientation.ID)),
-    "triangles_count_supp": lambda s, d: tri.count_triangles(DERIVED["supp"](s, d), Orientation.ID),
-    "triangles_count_user": lambda s, d: tri.count_triangles(DERIVED["user"](s, d), Orientation.ID),
+    "triangles_count": _on_part(tri.count_triangles),
+    "triangles_count_supp": lambda s, d: tri.count_triangles(DERIVED["supp"](s, d)),
+    "triangles_count_user": lambda s, d: tri.count_triangles(DERIVED["user"](s, d)),
     "triangles_range": _on_part(lambda e: tri.triangles_in_range(e, 500, 1200, 100, 700)),
     "triangles_verify": _on_part(lambda e: sinks.verified(e, tri.list_triangles(e, _options(Strategy.SEMI)))),
     "triangles_incremental": _incremental,
@@ -174,19 +288,40 @@ QUERIES: dict[str, Query] = {
     "edge_work": _on_part(balance.edge_work),
     "kernel_udtf": _on_part(_kernel),
     "kernel_udaf": _on_part(_kernel_aggregate),
+    "kernel_shared": _on_part(_kernel_shared),
+    "kernel_by_key": _on_part(_kernel_by_key),
+    "kernel_global": _on_part(_kernel_global),
+    "kernel_by_partition": _on_part(_kernel_by_partition),
+    "edges_through_parquet": _through(sinks.write_parquet, edge_sources.from_parquet),
+    "edges_through_ranges": _through(lambda e, path: edge_sources.saved(Graph(e), path), edge_sources.from_parquet),
+    "edges_through_csv": _through(lambda e, path: e.write.csv(path), edge_sources.from_csv),
+    "edges_through_text": _through(lambda e, path: e.select(F.concat_ws(" ", "dst", "src")).write.text(path), edge_sources.from_text),
+    "edges_through_table": _through_table,
+    "edges_through_block_files": _through_block_source,
+    "graph_cached": _on_part(_cached),
+    "grid_order": _on_part(_grid_order),
+    "partition_stats": _on_part(lambda e: meta.partition_stats(e).agg(F.sum("n_edges").alias("n_edges"), F.min("min_row").alias("min_row"), F.max("max_row").alias("max_row"))),
+    "triangles_written": _parquet_sink,
+    "triangles_by_options": _listing("supp", QueryOptions.parse(["strategy=semi", "orientation=degree", "partitions=5", "balance=y"])),
+    "triangles_count_by_degree": _on_part(lambda e: tri.count_triangles(e, Orientation.DEGREE)),
+    "run_in_batches": _report(["batches=3", "verify=y", "orientation=id"], True),
+    "run_in_batches_by_semi_join": _report(["batches=3", "strategy=semi"], True),
+    "run_without_output": _report(["keep_output=n"], False),
+    "split_ranges": _halves,
+    "size_constants": _sizes,
     "scalar_functions": _scalars,
 }
 
 _E = {
-    "part": "SELECT DISTINCT greatest(a.l_partkey, b.l_partkey) AS src, least(a.l_partkey, b.l_partkey) AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey",
-    "supp": "SELECT DISTINCT greatest(a.l_suppkey, b.l_suppkey) AS src, least(a.l_suppkey, b.l_suppkey) AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey",
+    "part": "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey > b.l_partkey",
+    "supp": "SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey > b.l_suppkey",
     "nation": "SELECT DISTINCT CAST(greatest(c_nationkey, s_nationkey) AS BIGINT) AS src, CAST(least(c_nationkey, s_nationkey) AS BIGINT) AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey",
     "user": "SELECT DISTINCT greatest(a.user_id, b.user_id) AS src, least(a.user_id, b.user_id) AS dst FROM events a JOIN events b ON date_trunc('hour', a.ts) = date_trunc('hour', b.ts) AND a.event_type = b.event_type AND a.user_id <> b.user_id",
 }
 
 
 def _sql(body: str, graph: str = "part") -> str:
-    return f"WITH e AS ({_E[graph]}) {body}"
+    return f"WITH e AS MATERIALIZED ({_E[graph]}) {body}"
 
 
 _TRIANGLES = "SELECT e1.src AS a, e1.dst AS b, e2.dst AS c FROM e e1 JOIN e e2 ON e1.dst = e2.src JOIN e e3 ON e3.src = e1.src AND e3.dst = e2.dst"
@@ -197,7 +332,7 @@ ORACLE_SQL: dict[str, str] = {
     **{f"edges_{g}": _sql("SELECT src, dst FROM e", g) for g in _E},
     "canonical_edges": _sql("SELECT src, dst FROM e"),
     "edges_relabelled": _sql("SELECT s.n AS src, d.n AS dst FROM e JOIN m s ON e.src = s.v JOIN m d ON e.dst = d.v").replace(") SELECT s.n", "), m AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS n FROM (SELECT src AS v FROM e UNION SELECT dst FROM e)) SELECT s.n"),
-    "edges_sorted": _sql("SELECT src, dst FROM e ORDER BY src, dst", "nation"),
+    "edges_sorted": _sql("SELECT src, dst FROM e ORDER BY src, dst"),
     "graph_info": _sql("SELECT (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS n_vertices, count(*) AS n_edges, count(DISTINCT src) AS n_nonempty_rows FROM e"),
     "cell_bounds": _sql("SELECT min(src) AS min_row, max(src) AS max_row, min(dst) AS min_col, max(dst) AS max_col FROM e"),
     "block_stats": _sql("SELECT src >> 8 AS block_row, dst >> 8 AS block_col, count(*) AS n_edges, count(DISTINCT src) AS n_rows, min(src) AS min_row, max(src) AS max_row, min(dst) AS min_col, max(dst) AS max_col FROM e GROUP BY 1, 2"),
@@ -224,14 +359,33 @@ ORACLE_SQL: dict[str, str] = {
     "triangles_count": _sql(f"SELECT count(*) AS n FROM ({_TRIANGLES})"),
     "triangles_count_supp": _sql(f"SELECT count(*) AS n FROM ({_TRIANGLES})", "supp"),
     "triangles_count_user": _sql(f"SELECT count(*) AS n FROM ({_TRIANGLES})", "user"),
-    "triangles_range": _sql(f"{_TRIANGLES} WHERE e1.src BETWEEN 500 AND 1200 AND e2.dst BETWEEN 100 AND 700"),
+    "triangles_range": _sql("SELECT e1.src AS a, e1.dst AS b, e2.dst AS c FROM (SELECT * FROM e WHERE src BETWEEN 500 AND 1200) e1 JOIN (SELECT * FROM e WHERE dst BETWEEN 100 AND 700) e2 ON e1.dst = e2.src JOIN (SELECT * FROM e WHERE src BETWEEN 500 AND 1200 AND dst BETWEEN 100 AND 700) e3 ON e3.src = e1.src AND e3.dst = e2.dst"),
     "triangles_verify": _sql(f"SELECT count(*) AS n_listed, count(*) AS n_counted, true AS ok FROM ({_TRIANGLES})"),
-    "triangles_incremental": _sql(_TRIANGLES, "nation"),
+    "triangles_incremental": _sql(_TRIANGLES),
     "work_split": _sql(
         f"SELECT CAST(floor(before * 8 / total) AS INTEGER) AS part, min(v) AS low, max(v) AS high, CAST(sum(work) AS BIGINT) AS work FROM (SELECT src AS v, work, coalesce(sum(work) OVER (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(work) OVER () AS total FROM (SELECT src, sum(work) AS work FROM w GROUP BY src)) GROUP BY 1"
     ).replace(") SELECT CAST(floor", f"), {_WORK} SELECT CAST(floor", 1),
     "edge_work": _sql("SELECT src, dst, work FROM w").replace(") SELECT src, dst, work", f"), {_WORK} SELECT src, dst, work", 1),
     "kernel_udtf": _sql("SELECT src, dst, src + dst AS ends FROM e"),
+    "kernel_shared": _sql("SELECT src, dst, place FROM e JOIN (SELECT s, row_number() OVER (ORDER BY s) - 1 AS place FROM (SELECT DISTINCT src AS s FROM e ORDER BY s LIMIT 100)) ON src = s"),
+    "kernel_by_key": _sql("SELECT src, count(*) AS n, CAST(sum(dst) AS BIGINT) AS total, max(dst) AS most FROM e GROUP BY src"),
+    "kernel_global": _sql("SELECT count(*) AS n, CAST(sum(dst) AS BIGINT) AS total, max(dst) AS most FROM e"),
+    "kernel_by_partition": _sql("SELECT count(*) AS n FROM e"),
+    **{f"edges_through_{x}": _sql("SELECT src, dst FROM e", "supp") for x in ("parquet", "ranges", "csv", "text", "table", "block_files")},
+    "graph_cached": _sql("SELECT (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS n_vertices, count(*) AS n_edges, count(DISTINCT src) AS n_nonempty_rows, true AS held, false AS closed_held FROM e"),
+    "grid_order": _sql("SELECT block_row, block_col, n_edges, block_col * (SELECT max(src >> 8) + 1 FROM e) + block_row AS place FROM (SELECT src >> 8 AS block_row, dst >> 8 AS block_col, count(*) AS n_edges FROM e GROUP BY 1, 2) ORDER BY place"),
+    "partition_stats": _sql("SELECT count(*) AS n_edges, min(src) AS min_row, max(src) AS max_row FROM e"),
+    "triangles_written": _sql(_TRIANGLES, "supp"),
+    "triangles_by_options": _sql(_TRIANGLES, "supp"),
+    "triangles_count_by_degree": _sql(f"SELECT count(*) AS n FROM ({_TRIANGLES})"),
+    "run_in_batches": _sql(f"SELECT CAST(a % 3 AS INTEGER) AS batch, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS n_triangles, true AS ok, true AS timed, CAST(sum(count(*)) OVER () AS BIGINT) AS n_written FROM ({_TRIANGLES}) GROUP BY 1", "nation"),
+    "run_in_batches_by_semi_join": _sql(f"SELECT CAST(a % 3 AS INTEGER) AS batch, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS n_triangles, false AS ok, true AS timed, CAST(sum(count(*)) OVER () AS BIGINT) AS n_written FROM ({_TRIANGLES}) GROUP BY 1", "nation"),
+    "run_without_output": _sql(f"SELECT CAST(0 AS INTEGER) AS batch, count(*) AS n, count(*) AS n_triangles, false AS ok, true AS timed, CAST(0 AS BIGINT) AS n_written FROM ({_TRIANGLES})", "nation"),
+    "split_ranges": """
+        SELECT n, step, CAST(0 AS BIGINT) AS low1, h * step AS high1, h AS n1, h * step AS low2, n AS high2, r - h AS n2
+        FROM (SELECT n, step, r, (r + 1) // 2 AS h FROM (SELECT n, step, (n + step - 1) // step AS r FROM (SELECT CAST(unnest([0, 1, 7, 100, 1001]) AS BIGINT) AS n) CROSS JOIN (SELECT CAST(unnest([1, 3]) AS BIGINT) AS step)))
+    """,
+    "size_constants": "SELECT CAST(1024 AS BIGINT) AS kib, CAST(1048576 AS BIGINT) AS mib, CAST(1073741824 AS BIGINT) AS gib, CAST(1099511627776 AS BIGINT) AS tib",
     "kernel_udaf": _sql("SELECT src % 16 AS k, count(*) AS n FROM e GROUP BY 1"),
     "scalar_functions": """
         SELECT o_orderkey AS k, o_orderkey > 0 AND (o_orderkey & (o_orderkey - 1)) = 0 AS is_pow2,

@@ -45,7 +45,8 @@ def _pairs(rows: DataFrame, vertex: str, *group: str) -> DataFrame:
     once = rows.select(*group, F.col(vertex).cast("long").alias("v")).distinct()
     x, y = once.alias("x"), once.alias("y")  # one plan, so its shuffle is made once
     same = [F.col(f"x.{g}") == F.col(f"y.{g}") for g in group]
-    pairs = x.join(y, [*same, F.col("x.v") > F.col("y.v")])
+    # Neither side is small: the estimate of a compressed file's distinct rows must not make one a broadcast.
+    pairs = x.join(y.hint("merge"), [*same, F.col("x.v") > F.col("y.v")])
     return pairs.select(F.col("x.v").alias("src"), F.col("y.v").alias("dst")).distinct()
 
 

@@ -170,6 +170,6 @@ def test_kernel_and_aggregates(spark):
     assert sorted(r["y"] for r in run_kernel(e, kernel, "y long", shared).collect()) == sorted([10 * k for k in range(100)] * 2)
     args = (lambda: 0.0, lambda acc, b: acc + b.num_rows, lambda x, y: x + y)
     assert aggregate(e, AttributeScope.GLOBAL, *args).head()["value"] == 100
-    assert {r["key"]: r["value"] for r in aggregate(e, AttributeScope.KEY, *args, key="src").collect()} == {"0": 34, "1": 33, "2": 33}
+    assert {r["key"]: r["value"] for r in aggregate(e, AttributeScope.KEY, *args, key="src").collect()} == {0: 34, 1: 33, 2: 33}
     assert sum(r["value"] for r in aggregate(e, AttributeScope.PARTITION, *args).collect()) == 100
     assert aggregate(e, AttributeScope.NONE, *args).count() == 0
