@@ -42,7 +42,7 @@ def oriented_by_degree(edges: DataFrame) -> DataFrame:
     deg = total_degrees(edges)
     one = deg.select(rekeyed("v").alias("k1"), F.col("deg").alias("d1"))
     two = deg.select(rekeyed("v").alias("k2"), F.col("deg").alias("d2"))
-    e = edges.join(one, rekeyed("src") == F.col("k1")).join(two, rekeyed("dst") == F.col("k2"))
+    e = edges.join(one.hint("merge"), rekeyed("src") == F.col("k1")).join(two.hint("merge"), rekeyed("dst") == F.col("k2"))
     low, high = F.struct("d1", "src"), F.struct(F.col("d2").alias("d1"), F.col("dst").alias("src"))
     forward = low < high
     return e.select(

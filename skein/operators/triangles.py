@@ -1,6 +1,8 @@
 """Triangle listing and counting as interchangeable plans.
 
-All plans take canonical edges and give the same rows (a > b > c); see Strategy. None
+All plans take canonical edges and give the same rows (a > b > c); see Strategy. Joins
+of edges or lists ask for a sort-merge join, as size estimates of derived graphs are far
+too low for a broadcast to be safe; adaptive execution splits frequent keys. None
 materialises more than its own plan needs: JOIN and SEMI make every wedge a row,
 INTERSECT keeps wedges inside arrays, ARROW inside numpy arrays of bounded length.
 """
@@ -32,7 +34,7 @@ def wedges(edges: DataFrame, far: DataFrame | None = None) -> DataFrame:
     far = edges if far is None else far
     one = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     two = far.select(F.col("src").alias("b"), F.col("dst").alias("c"))
-    return one.join(two, "b").select("a", "b", "c")
+    return one.join(two.hint("merge"), "b").select("a", "b", "c")
 
 
 def wedge_count(edges: DataFrame) -> DataFrame:
@@ -45,7 +47,7 @@ def wedge_count(edges: DataFrame) -> DataFrame:
 def closed(wedge: DataFrame, edges: DataFrame) -> DataFrame:
     """Wedges whose ends are joined by an edge: a left-semi join."""
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("c"))
-    return wedge.join(e, ["a", "c"], "left_semi").select("a", "b", "c")
+    return wedge.join(e.hint("merge"), ["a", "c"], "left_semi").select("a", "b", "c")
 
 
 def _lists(edges: DataFrame, orientation: Orientation, partitions: int | None = None) -> DataFrame:
@@ -73,7 +75,7 @@ def _common(adj: DataFrame, orientation: Orientation, part: Column | None = None
     else:
         rows = rows.filter(F.col("p") + 1 < F.size("nbrs"))
         rows = rows.select(F.col("src").alias("x"), "y", F.slice("nbrs", F.col("p") + 2, F.size("nbrs") - F.col("p") - 1).alias("rest"))
-    other = adj.select(rekeyed("src").alias("k"), F.col("nbrs").alias("far"))
+    other = adj.select(rekeyed("src").alias("k"), F.col("nbrs").alias("far")).hint("merge")
     return rows.join(other, rekeyed("y") == F.col("k")).select("x", "y", F.array_intersect("rest", "far").alias("common"))
 
 
@@ -170,7 +172,7 @@ def planned(edges: DataFrame, options: QueryOptions = QueryOptions()) -> Callabl
         if strategy is Strategy.SEMI:
             rows = closed(wedge, edges)
         else:
-            rows = wedge.join(edges.select(F.col("src").alias("a"), F.col("dst").alias("c")), ["a", "c"]).select("a", "b", "c")
+            rows = wedge.join(edges.select(F.col("src").alias("a"), F.col("dst").alias("c")).hint("merge"), ["a", "c"]).select("a", "b", "c")
         return rows.select(*_sorted_triple(F.col("a"), F.col("b"), F.col("c"))) if o.orientation is Orientation.DEGREE else rows
 
     return by_wedges
@@ -217,7 +219,7 @@ def edge_intersection(edges: DataFrame) -> DataFrame:
     """a, b, n_common for every edge: common out-neighbours of its ends, zeros included."""
     adj = adjacency(edges.repartition(parallelism(edges), "src"))
     pairs = adj.select("src", "nbrs", F.explode("nbrs").alias("dst"))
-    other = adj.select(rekeyed("src").alias("k"), F.col("nbrs").alias("far"))
+    other = adj.select(rekeyed("src").alias("k"), F.col("nbrs").alias("far")).hint("merge")
     n = F.coalesce(F.size(F.array_intersect("nbrs", "far")).cast("long"), F.lit(0).cast("long"))
     rows = pairs.join(other, rekeyed("dst") == F.col("k"), "left")
     return rows.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.when(F.col("far").isNull(), F.lit(0).cast("long")).otherwise(n).alias("n_common"))
@@ -227,7 +229,7 @@ def bitmap_support(edges: DataFrame) -> DataFrame:
     """The same by two-level bitmaps: each source's neighbours as bitmaps, wedges tested bit by bit, most rejected by the upper level."""
     maps = edges.groupBy(F.col("src").alias("ms"), bitmap_bucket("dst").alias("mb")).agg(set_bits("dst").alias("bitmap"), set_upper_bits("dst").alias("upper"))
     w = wedges(edges).withColumn("bucket", bitmap_bucket("c"))
-    hits = w.join(maps, (F.col("a") == F.col("ms")) & (F.col("bucket") == F.col("mb"))).filter(get_bit_two_level("upper", "bitmap", "c"))
+    hits = w.join(maps.hint("merge"), (F.col("a") == F.col("ms")) & (F.col("bucket") == F.col("mb"))).filter(get_bit_two_level("upper", "bitmap", "c"))
     counts = hits.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     return e.join(counts, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0).cast("long")).alias("n_common"))
