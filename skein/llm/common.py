@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,19 +32,37 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+    """Cut the lineage with a reliable checkpoint in shared_folder()."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df's rows as a table in shared_folder(), read again.
+
+    A checkpoint keeps the optimiser's estimate of its size. Joins multiply estimates, so
+    a loop of many joins would carry numbers whose digits double with every join; a table
+    has the size of its files.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-    The folder is what the session names in spark.checkpoint.dir. Only where that is
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, set up if it isn't yet.
+
+    It is what the session names in spark.checkpoint.dir. Only where that is
     unset and all runs in one process, as in tests, a temporary folder is used; on a
     cluster it would be another folder on every machine, and is refused.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not one_process(sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skein-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
 
 
 def one_process(master: str) -> bool:

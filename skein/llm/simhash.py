@@ -25,7 +25,8 @@ similar if the Jaccard similarity of their sets of five-word shingles is 0.8 or
 Fingerprints have 256 bits, of which similar texts may differ in 60; tables of random
 bits find candidates with a stated chance of a miss (about N ** 0.24 tables), forests
 join the closest pairs first, and pairs that aren't closer than any dissimilar ones
-would be are verified by their sets. Only sets of texts in such pairs are moved.
+would be are verified by their sets. Only sets of texts in such pairs are moved. Where
+a pair fails, what it leaves apart is compared again until no candidate is untested.
 
 Results for special inputs: a null text counts as empty. A text without words has
 fingerprint zero, which is linked like any other. A null doc_id takes part, and
@@ -47,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import among, bounded_batches, checkpointed, id_and_text, keyed, without
+from skein.llm.common import among, bounded_batches, checkpointed, id_and_text, keyed, stored, without
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Fixed: A to Z in lower case, other characters as they are.
@@ -226,13 +227,17 @@ def _link(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
 STEP = 4096
 
 
-def unit_forest(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radii: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside every unit, as pairs of lanes that are within the largest radius.
+def unit_forest(
+    unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radii: tuple[int, ...], comp: np.ndarray | None = None, forests: int = 1
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spanning forests of the links inside every unit: pairs of lanes that are within the largest radius, and whether their unit has links that no forest took.
 
     unit: a number for each lane, equal lanes contiguous. side: 2 if lanes compare with
     all of their unit; 0 and 1 if only with the other side. fp: a word for each lane, or
     a row of words. Radii ascend; links within a smaller one are found first, so what
-    joins two trees is about their closest pair.
+    joins two trees is about their closest pair. Lanes of equal comp are one tree from
+    the start. Each further forest spans the links that those before it left; with
+    several, one radius is enough.
     """
     first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
     size = np.diff(np.r_[first, len(unit)])
@@ -245,7 +250,14 @@ def unit_forest(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radii: tuple
     ends = np.cumsum(size)
     live = [int(ends[np.searchsorted(-size, -k, side="left") - 1]) if k < most else 0 for k in range(0, most, 64)]
     planes = bit_planes(fp.view(np.uint64), most + 128)
-    up = np.arange(len(fp))
+    number = np.repeat(np.arange(len(size)), size)
+    start = np.arange(len(fp))
+    if comp is not None:  # the first lane of each unit and comp is the root of both
+        by = np.lexsort((start, comp[lane], number))
+        new = np.r_[True, (np.diff(number[by]) != 0) | (np.diff(comp[lane][by]) != 0)]
+        start[by] = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+    trees = [start.copy() for _ in range(forests)]
+    seen = np.zeros(len(size), dtype=np.int64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for radius in radii:
         for by in range(min(64, most)):
@@ -264,19 +276,27 @@ def unit_forest(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radii: tuple
                     a, shift = a[ok], shift[ok]
                     ok = left[a] > shift
                     a, b = a[ok], (a + shift)[ok]
-                    ok = ((side[a] == 2) | (side[a] != side[b])) & (up[a] != up[b])
-                    if ok.any():
-                        a, b = a[ok], b[ok]
-                        joined = _link(up, a, b)
-                        found.append((a[joined], b[joined]))
+                    ok = ((side[a] == 2) | (side[a] != side[b])) & (start[a] != start[b])
+                    a, b = a[ok], b[ok]
+                    if radius == radii[-1]:  # which finds every link
+                        np.add.at(seen, number[a], 1)
+                    for up in trees:
+                        ok = up[a] != up[b]
+                        if ok.any():
+                            at = np.flatnonzero(ok)
+                            ok[:] = False
+                            ok[at[_link(up, a[at], b[at])]] = True
+                            found.append((a[ok], b[ok]))
+                            a, b = a[~ok], b[~ok]
                 over += deep
     a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return lane[a], lane[b]
+    more = seen > np.bincount(number[a], minlength=len(size))
+    return lane[a], lane[b], more[number[a]]
 
 
 def unit_links(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links inside every unit, as pairs of fingerprints."""
-    a, b = unit_forest(unit, side, fp, (radius,))
+    a, b, _ = unit_forest(unit, side, fp, (radius,))
     return fp[a], fp[b]
 
 
@@ -342,8 +362,10 @@ def _in_units(rows: DataFrame, node: str, block: int) -> DataFrame:
     return spread.repartition(parts, "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
 
 
-def _forests(spread: DataFrame, words: list[str], node: str, radii: tuple[int, ...]) -> DataFrame:
-    """a, b, distance: spanning forests of all units, as pairs of nodes."""
+def _forests(spread: DataFrame, words: list[str], node: str, radii: tuple[int, ...], forests: int = 1) -> DataFrame:
+    """a, b, distance, more: unit_forest() of all units, as pairs of nodes; a column comp of spread, if any, joins nodes beforehand."""
+    joined = "comp" in spread.columns
+    lanes = max(LANES // forests, 1 << 12)  # every forest has a number for each lane
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -361,22 +383,23 @@ def _forests(spread: DataFrame, words: list[str], node: str, radii: tuple[int, .
             if end:
                 unit = np.cumsum(new)[:end]
                 fp = np.stack([table.column(c).to_numpy()[:end] for c in words], axis=1)
-                a, b = unit_forest(unit, table.column("side").to_numpy()[:end], fp, radii)
+                comp = table.column("comp").to_numpy()[:end] if joined else None
+                a, b, more = unit_forest(unit, table.column("side").to_numpy()[:end], fp, radii, comp, forests)
                 names = table.column(node).to_numpy()
                 far = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names[a], pa.int64()), pa.array(names[b], pa.int64()), pa.array(far)], ["a", "b", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[a], pa.int64()), pa.array(names[b], pa.int64()), pa.array(far), pa.array(more)], ["a", "b", "distance", "more"])
             held, n = (table.slice(end).to_batches(), n - end) if end < n else ([], 0)
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 n += batch.num_rows
-            if n >= LANES:
+            if n >= lanes:
                 yield from work(False)
         if n:
             yield from work(True)
 
-    return spread.mapInArrow(run, "a long, b long, distance long")
+    return spread.mapInArrow(run, "a long, b long, distance long, more boolean")
 
 
 # -- similar texts
@@ -402,20 +425,47 @@ def wide_tables(nodes: int) -> np.ndarray:
     return masks
 
 
-def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], block: int = BLOCK) -> DataFrame:
-    """a, b: links between texts of similarity SIMILARITY or more.
+def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], block: int = BLOCK) -> DataFrame:
+    """components() of nodes linked by a similarity of SIMILARITY or more.
 
-    nodes: node, and words w0, w1 ... of its fingerprint. sets_of: from a frame of nodes,
-    one column, to their node, shingles (distinct hashes). Pairs within SURE bits are links; pairs within WIDE_RADIUS bits are links
-    if their sets' Jaccard similarity says so.
+    nodes: node, low, and words w0, w1 ... of its fingerprint. sets_of: from a frame of
+    nodes, one column, to their node, shingles (distinct hashes). Pairs within SURE bits
+    are links; pairs within WIDE_RADIUS bits are links if their sets' Jaccard similarity
+    says so. A forest of such candidates may rest on pairs that fail and so hide others
+    that don't. Groups that a failed pair leaves apart are therefore compared again, group
+    by group as far as they are joined, with more forests each time, until every unit's
+    candidates between different groups have been verified.
     """
     words = [f"w{k}" for k in range(WIDE_WORDS)]
     masks = wide_tables(nodes.count()).view(np.int64).tolist()
     tables = F.array(*[F.struct(F.lit(t).alias("t"), *[F.lit(x).cast("long").alias(w) for w, x in zip(words, m, strict=True)]) for t, m in enumerate(masks)])
     keys = F.transform(tables, lambda m: F.struct(m["t"].alias("t"), F.xxhash64(m["t"], *[F.col(w).bitwiseAND(m[w]) for w in words]).alias("key")))
-    rows = nodes.select("node", *words, F.inline(keys))
-    found = _forests(_in_units(rows, "node", block), words, "node", WIDE_RADII)
-    found = checkpointed(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct())
+    rows, radii, forests = nodes.select("node", *words), WIDE_RADII, 1
+    links = tested = None
+    while True:
+        spread = _in_units(rows.select("*", F.inline(keys)), "node", block)
+        found = _forests(spread, words, "node", radii, forests)
+        found = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("distance").alias("distance"), F.max("more").alias("more"))
+        found = stored(found)
+        fresh = found if tested is None else found.join(tested, ["a", "b"], "left_anti")
+        alike = stored(_alike(fresh, sets_of))
+        links, tested = (alike, found.select("a", "b")) if tested is None else (links.union(alike), tested.union(fresh.select("a", "b")))
+        label = components(nodes.select(F.col("node").alias("fp"), "low"), links)
+        group = stored(label.select("fp", F.col("node").alias("own")))
+        one, two = (group.select(_anew("fp").alias(f"k{x}"), F.col("own").alias(f"g{x}")) for x in "ab")
+        open_ = found.filter("more").join(one, _anew("a") == F.col("ka"), "left").join(two, _anew("b") == F.col("kb"), "left")
+        open_ = open_.select(F.coalesce("ga", "a").alias("ga"), F.coalesce("gb", "b").alias("gb")).filter("ga <> gb")
+        apart = stored(open_.select(F.explode(F.array("ga", "gb")).alias("g")).distinct())
+        if apart.isEmpty():
+            return label
+        member = nodes.select("node", *words).join(group.select(_anew("fp").alias("kn"), "own"), _anew("node") == F.col("kn"), "left")
+        member = member.select("node", *words, F.coalesce("own", "node").alias("comp"))
+        rows = stored(member.join(apart.select(_anew("g").alias("kg")), _anew("comp") == F.col("kg"), "left_semi"))
+        radii, forests = (WIDE_RADIUS,), 8 * forests
+
+
+def _alike(found: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """a, b: the pairs within SURE bits, and of the others those whose sets have a similarity of SIMILARITY or more."""
     sure, open_ = found.filter(F.col("distance") <= SURE), found.filter(F.col("distance") > SURE)
     # Only sets of texts that an open pair names are moved.
     named = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -513,7 +563,6 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = docs.groupBy("same").agg(first, *[F.min(w).alias(w) for w in words])
     nodes = checkpointed(nodes.select(F.col("first.row").alias("node"), F.col("first.doc_id").alias("low"), *words))
     sets_of = lambda some: among(texts, "row", some).mapInArrow(run_sets, "node long, shingles array<long>")
-    links_ = similar_links(nodes.drop("low"), sets_of, block)
-    label = components(nodes.select(F.col("node").alias("fp"), "low"), links_).filter("fp <> node").select(F.col("fp").alias("other"))
+    label = similar_components(nodes, sets_of, block).filter("fp <> node").select(F.col("fp").alias("other"))
     kept = nodes.join(label, _anew("node") == _anew("other"), "left_anti").select(F.col("node").alias("keep"))
     return without(numbered, key, docs.join(kept, F.col("row") == F.col("keep"), "left_anti").select("row")).drop(key)

@@ -205,6 +205,25 @@ def test_bit_sliced_links_equal_brute_force():
         assert len(a) <= len(fp)
 
 
+def test_forests_take_all_links_between_groups():
+    r = np.random.default_rng(1)
+    fp = r.integers(0, 4, 300, dtype=np.uint64)
+    unit = np.sort(r.integers(0, 12, len(fp)))
+    comp = r.integers(0, 9, len(fp))
+    apart = (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 1) & (unit[:, None] == unit[None, :]) & (comp[:, None] != comp[None, :])
+    want = {(x, y) for x, y in zip(*(k.tolist() for k in np.nonzero(apart)), strict=True) if x < y}
+    taken = []
+    for forests in (1, 3, 64):
+        a, b, more = simhash.unit_forest(unit, np.full(len(fp), 2), fp.view(np.int64), (1,), comp, forests)
+        got = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+        assert len(got) == len(a) and got <= want
+        for x, m in zip(a.tolist(), more.tolist(), strict=True):
+            own = {p for p in want if unit[p[0]] == unit[x]}
+            assert m == (not own <= got)
+        taken.append(len(got))
+    assert taken == sorted(taken) and got == want
+
+
 def test_bands_miss_no_pair():
     r = random.Random(2)
     for agree, n in ((1, 5), (2, 15), (3, 35)):
@@ -288,6 +307,23 @@ def test_near_filter_finds_similar_texts(make, sample):
     assert len(every - kept) >= 0.97 * len(every - want)
 
 
+def test_pairs_that_fail_hide_no_others(make, monkeypatch):
+    # Many texts of one kind, whose pairs lie closely on both sides of the limit.
+    r = random.Random(8)
+    rows = []
+    for _ in range(4):
+        words = [str(r.getrandbits(40)) for _ in range(240)]
+        for _ in range(40):
+            mine = list(words)
+            for at in r.sample(range(24), r.randint(1, 6)):
+                mine[10 * at + 4] = str(r.getrandbits(40))
+            rows.append((len(rows), " ".join(mine)))
+    monkeypatch.setattr(simhash, "MISSED", 1e-6)
+    kept = {x["doc_id"] for x in simhash.drop_near_duplicates(make(rows)).collect()}
+    want = set(similar_brute(rows))
+    assert 4 < len(want) < len(rows) and kept == want
+
+
 def test_tables_of_wide_fingerprints_reach_similar_texts():
     r = random.Random(4)
     for nodes in (100, 100_000, 10_000_000):
