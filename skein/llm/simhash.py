@@ -23,10 +23,9 @@
 The filter drop_near_duplicates() has a wider net, by the same comparison: texts are
 similar if the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
 Fingerprints have 256 bits, of which similar texts may differ in 60; tables of random
-bits find candidates with a stated chance of a miss (about N ** 0.24 tables), forests
-join the closest pairs first, and pairs that aren't closer than any dissimilar ones
-would be are verified by their sets. Only sets of texts in such pairs are moved. Where
-a pair fails, what it leaves apart is compared again until no candidate is untested.
+bits find candidates with a stated chance of a miss (about N ** 0.24 tables), forests of
+them give groups, and all pairs of a group are compared by their sets, in units of at
+most BLOCK texts. Only sets of texts in groups are moved, once for each block of theirs.
 
 Results for special inputs: a null text counts as empty. A text without words has
 fingerprint zero, which is linked like any other. A null doc_id takes part, and
@@ -66,10 +65,10 @@ LANES = 1 << 16
 WIDE_WORDS, WIDE_SHINGLE, SIMILARITY = 4, 5, 0.8
 #: Sets of Jaccard similarity J have the cosine 2 J / (1 + J); a bit differs with the chance arccos / pi.
 DIFFERING = float(np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi)
-#: That is 39 of 256 bits on average, with a deviation of 5.7. Pairs within the first radius are
-#: links (three deviations below), those beyond the last one aren't (nearly four above).
-WIDE_RADII = (20, 40, 60)
-SURE, WIDE_RADIUS = WIDE_RADII[0], WIDE_RADII[-1]
+#: That is 39 of 256 bits on average, with a deviation of 5.7: similar texts are hardly ever beyond this (nearly four above).
+WIDE_RADIUS = 60
+#: Shingles that make a text count once more in a unit of sets, and rows of units that may be broadcast.
+HEAVY, FEW_MEMBERS = 1024, 500_000
 #: Bucket size that sets the length of keys, and the share of pairs at SIMILARITY that no table may hold.
 WIDE_BUCKET, MISSED = 64, 0.02
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -337,9 +336,10 @@ def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK, agree: int
 
 
 def _in_units(rows: DataFrame, node: str, block: int) -> DataFrame:
-    """rows (t, key and others) dealt out by unit: a bucket (t, key), or two blocks (i, j) of a large one, with the side of each row."""
+    """rows (t, key and others) dealt out by unit: a bucket (t, key), or two blocks (i, j) of a large one, with the side of each row. A column weight, if any, says how many rows one counts for."""
     # How many blocks a bucket needs is known from its size; a row's own follows from its hash.
-    large = rows.groupBy("t", "key").count().filter(F.col("count") > block)
+    size = F.sum("weight") if "weight" in rows.columns else F.count(F.lit(1))
+    large = rows.groupBy("t", "key").agg(size.alias("count")).filter(F.col("count") > block)
     large = large.select(F.col("t").alias("lt"), F.col("key").alias("lkey"), F.ceil(F.col("count") / (block / 2)).cast("int").alias("blocks"))
     large = checkpointed(large)
     if large.limit(FEW_BUCKETS + 1).count() <= FEW_BUCKETS:
@@ -428,53 +428,85 @@ def wide_tables(nodes: int) -> np.ndarray:
 def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], block: int = BLOCK) -> DataFrame:
     """components() of nodes linked by a similarity of SIMILARITY or more.
 
-    nodes: node, low, and words w0, w1 ... of its fingerprint. sets_of: from a frame of
-    nodes, one column, to their node, shingles (distinct hashes). Pairs within SURE bits
-    are links; pairs within WIDE_RADIUS bits are links if their sets' Jaccard similarity
-    says so. A forest of such candidates may rest on pairs that fail and so hide others
-    that don't. Groups that a failed pair leaves apart are therefore compared again, group
-    by group as far as they are joined, with more forests each time, until every unit's
-    candidates between different groups have been verified.
+    nodes: node, low, shingles (how many), and words w0, w1 ... of its fingerprint.
+    sets_of: from a frame of nodes, one column, to their node, shingles (distinct hashes).
+    Forests of the pairs within WIDE_RADIUS bits give groups; every candidate pair lies
+    in one. The sets of a group then meet once, and all pairs of the group are compared
+    by them, so no pair that fails can hide another.
     """
     words = [f"w{k}" for k in range(WIDE_WORDS)]
     masks = wide_tables(nodes.count()).view(np.int64).tolist()
     tables = F.array(*[F.struct(F.lit(t).alias("t"), *[F.lit(x).cast("long").alias(w) for w, x in zip(words, m, strict=True)]) for t, m in enumerate(masks)])
     keys = F.transform(tables, lambda m: F.struct(m["t"].alias("t"), F.xxhash64(m["t"], *[F.col(w).bitwiseAND(m[w]) for w in words]).alias("key")))
-    rows, radii, forests = nodes.select("node", *words), WIDE_RADII, 1
-    links = tested = None
-    while True:
-        spread = _in_units(rows.select("*", F.inline(keys)), "node", block)
-        found = _forests(spread, words, "node", radii, forests)
-        found = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("distance").alias("distance"), F.max("more").alias("more"))
-        found = stored(found)
-        fresh = found if tested is None else found.join(tested, ["a", "b"], "left_anti")
-        alike = stored(_alike(fresh, sets_of))
-        links, tested = (alike, found.select("a", "b")) if tested is None else (links.union(alike), tested.union(fresh.select("a", "b")))
-        label = components(nodes.select(F.col("node").alias("fp"), "low"), links)
-        group = stored(label.select("fp", F.col("node").alias("own")))
-        one, two = (group.select(_anew("fp").alias(f"k{x}"), F.col("own").alias(f"g{x}")) for x in "ab")
-        open_ = found.filter("more").join(one, _anew("a") == F.col("ka"), "left").join(two, _anew("b") == F.col("kb"), "left")
-        open_ = open_.select(F.coalesce("ga", "a").alias("ga"), F.coalesce("gb", "b").alias("gb")).filter("ga <> gb")
-        apart = stored(open_.select(F.explode(F.array("ga", "gb")).alias("g")).distinct())
-        if apart.isEmpty():
-            return label
-        member = nodes.select("node", *words).join(group.select(_anew("fp").alias("kn"), "own"), _anew("node") == F.col("kn"), "left")
-        member = member.select("node", *words, F.coalesce("own", "node").alias("comp"))
-        rows = stored(member.join(apart.select(_anew("g").alias("kg")), _anew("comp") == F.col("kg"), "left_semi"))
-        radii, forests = (WIDE_RADIUS,), 8 * forests
-
-
-def _alike(found: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """a, b: the pairs within SURE bits, and of the others those whose sets have a similarity of SIMILARITY or more."""
-    sure, open_ = found.filter(F.col("distance") <= SURE), found.filter(F.col("distance") > SURE)
-    # Only sets of texts that an open pair names are moved.
-    named = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = checkpointed(sets_of(named))
-    one, two = (sets.select(_anew("node").alias(f"k{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    pairs = open_.join(one, _anew("a") == F.col("ka")).join(two, _anew("b") == F.col("kb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    alike = pairs.filter(both >= SIMILARITY * (F.size("sa") + F.size("sb") - both))
-    return sure.select("a", "b").union(alike.select("a", "b"))
+    spread = _in_units(nodes.select("node", *words, F.inline(keys)), "node", block)
+    # Which links a forest takes depends on the order of rows, so it is made once for both directions.
+    found = stored(_forests(spread, words, "node", (WIDE_RADIUS,)).select("a", "b").distinct())
+    ranked = nodes.select(F.col("node").alias("fp"), "low")
+    group = components(ranked, found).select(_anew("fp").alias("member"), F.col("node").alias("root"))
+    # A text of many shingles counts for several, so that a unit's sets stay bounded.
+    weight = F.ceil(F.col("shingles") / HEAVY).cast("long").alias("weight")
+    rows = nodes.join(group, _anew("node") == F.col("member")).select(F.lit(0).alias("t"), F.col("root").alias("key"), "node", weight)
+    units = stored(_in_units(stored(rows), "node", block).select("key", "i", "j", "side", "node"))
+    return components(ranked, stored(_alike(units, sets_of)))
+
+
+def _alike(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """a, b: in every unit (key, i, j; see _in_units()) a spanning forest of the pairs whose sets have a similarity of SIMILARITY or more."""
+    sets = sets_of(units.select("node").distinct())
+    few = units.limit(FEW_MEMBERS + 1).count() <= FEW_MEMBERS
+    near = units.select("key", "i", "j", "side", _anew("node").alias("kn"))
+    rows = sets.join(F.broadcast(near) if few else near.hint("merge"), _anew("node") == F.col("kn"))
+    parts = max(1, int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.select("key", "i", "j", "side", "node", "shingles").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches):
+        at, held = None, []
+
+        def done():
+            side, names = (np.concatenate([h[k].to_numpy() for h in held]) for k in (0, 1))
+            sizes = np.concatenate([h[2].value_lengths().to_numpy() for h in held]).astype(np.int64)
+            a, b = alike_forest(side, sizes, np.concatenate([h[2].flatten().to_numpy() for h in held]))
+            return pa.RecordBatch.from_arrays([pa.array(names[a], pa.int64()), pa.array(names[b], pa.int64())], ["a", "b"])
+
+        for x in batches:
+            if not x.num_rows:
+                continue
+            unit = [x.column(k).to_numpy() for k in range(3)]
+            cut = np.flatnonzero((np.diff(unit[0]) != 0) | (np.diff(unit[1]) != 0) | (np.diff(unit[2]) != 0)) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), x.num_rows], strict=True):
+                key = tuple(int(u[lo]) for u in unit)
+                if held and key != at:
+                    yield done()
+                    held = []
+                at = key
+                held.append([x.column(k).slice(lo, hi - lo) for k in (3, 4, 5)])
+        if held:
+            yield done()
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def alike_forest(side: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of sets with a similarity of SIMILARITY or more. sizes, values: the sets, one after another; side: as for unit_forest()."""
+    code = np.unique(values, return_inverse=True)[1]
+    often = np.bincount(code)
+    post = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(code, kind="stable")]
+    first, ends = np.cumsum(often) - often, np.cumsum(sizes)
+    up = np.arange(len(sizes))
+    a, b = [], []
+    for t in range(1, len(sizes)):
+        own = code[ends[t] - sizes[t] : ends[t]]
+        own = own[often[own] > 1]
+        m = often[own]
+        other = post[np.repeat(first[own] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
+        both = np.bincount(other[other < t], minlength=t)
+        alike = (both > 0) & (both >= SIMILARITY * (sizes[:t] + sizes[t] - both)) & ((side[:t] == 2) | (side[:t] != side[t]))
+        hit = np.flatnonzero(alike)
+        if len(hit):
+            joined = _link(up, np.full(len(hit), t), hit)
+            a += [t] * len(joined)
+            b += hit[joined].tolist()
+    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
 
 # -- components
@@ -551,17 +583,17 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
             sets = [shingle_set(t.as_py()) for t in b.column(1)]
             fp = np.array([wide_fingerprint(x) for x in sets], dtype=np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
             same = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), same, *(pa.array(fp[:, k]) for k in range(WIDE_WORDS))], ["doc_id", "row", "same", *words])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), same, pa.array([len(x) for x in sets], pa.int64()), *(pa.array(fp[:, k]) for k in range(WIDE_WORDS))], ["doc_id", "row", "same", "shingles", *words])
 
     def run_sets(batches):
         for b in batches:
             sets = pa.array([shingle_set(t.as_py()).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(2), sets], ["node", "shingles"])
 
-    docs = checkpointed(texts.mapInArrow(run, ", ".join(["doc_id long, row long, same binary", *(f"{w} long" for w in words)])))
+    docs = checkpointed(texts.mapInArrow(run, ", ".join(["doc_id long, row long, same binary, shingles long", *(f"{w} long" for w in words)])))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))).alias("first")
-    nodes = docs.groupBy("same").agg(first, *[F.min(w).alias(w) for w in words])
-    nodes = checkpointed(nodes.select(F.col("first.row").alias("node"), F.col("first.doc_id").alias("low"), *words))
+    nodes = docs.groupBy("same").agg(first, *[F.min(w).alias(w) for w in ("shingles", *words)])
+    nodes = checkpointed(nodes.select(F.col("first.row").alias("node"), F.col("first.doc_id").alias("low"), "shingles", *words))
     sets_of = lambda some: among(texts, "row", some).mapInArrow(run_sets, "node long, shingles array<long>")
     label = similar_components(nodes, sets_of, block).filter("fp <> node").select(F.col("fp").alias("other"))
     kept = nodes.join(label, _anew("node") == _anew("other"), "left_anti").select(F.col("node").alias("keep"))

@@ -488,3 +488,38 @@ def test_sketches_merge_and_estimate_containment(make):
     assert sketch[2] - sketch[1] == set() and sketch[3].isdisjoint(sketch[1])
     halves = {r["doc_id"]: set(r["sketch"]) for r in fingerprints.fingerprint(make([(1, " ".join(words[:2004])), (2, " ".join(words[2000:]))])).collect()}
     assert halves[1] | halves[2] == sketch[1]
+
+
+def test_failed_pairs_make_no_rows(make, monkeypatch):
+    """A family of texts that are all alike, below the limit: neither units nor links grow with its pairs."""
+    r = random.Random(9)
+    words = [str(r.getrandbits(40)) for _ in range(240)]
+    rows = []
+    for _ in range(120):
+        mine = list(words)
+        for at in r.sample(range(24), 4):
+            mine[10 * at + 4] = str(r.getrandbits(40))
+        rows.append((len(rows), " ".join(mine)))
+    seen = []
+    stored = simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df: seen.append(stored(df)) or seen[-1])
+    kept = {x["doc_id"] for x in simhash.drop_near_duplicates(make(rows)).collect()}
+    assert kept == set(similar_brute(rows)) and len(kept) > 60
+    forests, *others = seen
+    assert forests.count() < 0.5 * len(rows) ** 2 / 2  # every table has one; pairs of the family are over 7,000
+    assert len(others) == 3 and all(x.count() <= len(rows) for x in others)
+
+
+def test_sets_of_units_equal_brute_force():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 60):
+        base = r.integers(0, 1 << 60, 40)
+        sets = [np.unique(np.where(r.random(40) < 0.06, r.integers(0, 1 << 60, 40), base))[: r.integers(30, 41)] for _ in range(n)]
+        side = r.integers(0, 2, n)
+        a, b = simhash.alike_forest(side, np.array([len(x) for x in sets]), np.concatenate(sets))
+        tree, want = list(range(n)), list(range(n))
+        pairs = [(x, y) for x in range(n) for y in range(x) if side[x] != side[y] and len(np.intersect1d(sets[x], sets[y])) >= 0.8 * len(np.union1d(sets[x], sets[y]))]
+        for up, links in ((tree, zip(a.tolist(), b.tolist(), strict=True)), (want, pairs)):
+            for x, y in links:
+                up[:] = [min(up[x], up[y]) if k in (up[x], up[y]) else k for k in up]
+        assert tree == want and len(a) == n - len(set(want))
