@@ -227,7 +227,7 @@ STEP = 4096
 
 
 def unit_forest(
-    unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radii: tuple[int, ...], comp: np.ndarray | None = None, forests: int = 1
+    unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radii: tuple[int, ...], comp: np.ndarray | None = None, forests: int = 1, between: bool = False
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spanning forests of the links inside every unit: pairs of lanes that are within the largest radius, and whether their unit has links that no forest took.
 
@@ -236,7 +236,8 @@ def unit_forest(
     a row of words. Radii ascend; links within a smaller one are found first, so what
     joins two trees is about their closest pair. Lanes of equal comp are one tree from
     the start. Each further forest spans the links that those before it left; with
-    several, one radius is enough.
+    several, one radius is enough. between: lanes of one side that are linked, which
+    another unit with that side alone tells of, are one tree from the start (one forest).
     """
     first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
     size = np.diff(np.r_[first, len(unit)])
@@ -256,6 +257,7 @@ def unit_forest(
         new = np.r_[True, (np.diff(number[by]) != 0) | (np.diff(comp[lane][by]) != 0)]
         start[by] = by[np.flatnonzero(new)][np.cumsum(new) - 1]
     trees = [start.copy() for _ in range(forests)]
+    inner = start.copy() if between else None  # trees of links inside a side
     seen = np.zeros(len(size), dtype=np.int64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for radius in radii:
@@ -275,8 +277,12 @@ def unit_forest(
                     a, shift = a[ok], shift[ok]
                     ok = left[a] > shift
                     a, b = a[ok], (a + shift)[ok]
-                    ok = ((side[a] == 2) | (side[a] != side[b])) & (start[a] != start[b])
+                    ok = (between | (side[a] == 2) | (side[a] != side[b])) & (start[a] != start[b])
                     a, b = a[ok], b[ok]
+                    if inner is not None:
+                        ok = (side[a] != 2) & (side[a] == side[b]) & (inner[a] != inner[b])
+                        if ok.any():
+                            _link(inner, a[ok], b[ok])
                     if radius == radii[-1]:  # which finds every link
                         np.add.at(seen, number[a], 1)
                     for up in trees:
@@ -289,10 +295,24 @@ def unit_forest(
                             a, b = a[~ok], b[~ok]
                 over += deep
     a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if inner is not None:  # with the links inside sides, the forest's others still connect all
+        ok = (side[a] == 2) | (side[a] != side[b])
+        a, b = a[ok], b[ok]
+        joined = _link(inner, a, b)
+        a, b = a[joined], b[joined]
     more = seen > np.bincount(number[a], minlength=len(size))
     return lane[a], lane[b], more[number[a]]
 
 
+def stars(a: np.ndarray, b: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes that connect what the links a, b of lanes do: each node of a tree with the tree's smallest. A node has one tree, in however many units it is."""
+    ids, at = np.unique(node, return_inverse=True)
+    up = np.arange(len(ids))
+    _link(up, at[a], at[b])
+    leaf = np.flatnonzero(up != np.arange(len(ids)))
+    return ids[leaf], ids[up[leaf]]
+
+
 def unit_links(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links inside every unit, as pairs of fingerprints."""
     a, b, _ = unit_forest(unit, side, fp, (radius,))
@@ -362,8 +382,13 @@ def _in_units(rows: DataFrame, node: str, block: int) -> DataFrame:
     return spread.repartition(parts, "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
 
 
-def _forests(spread: DataFrame, words: list[str], node: str, radii: tuple[int, ...], forests: int = 1) -> DataFrame:
-    """a, b, distance, more: unit_forest() of all units, as pairs of nodes; a column comp of spread, if any, joins nodes beforehand."""
+def _forests(spread: DataFrame, words: list[str], node: str, radii: tuple[int, ...], forests: int = 1, groups: bool = False) -> DataFrame:
+    """a, b, distance, more: unit_forest() of all units, as pairs of nodes; a column comp of spread, if any, joins nodes beforehand.
+
+    groups: only a, b, which need not be links themselves, as stars(); two blocks of a
+    bucket add what joins their own trees, so a bucket's pairs grow with its nodes, not
+    with its nodes times its blocks.
+    """
     joined = "comp" in spread.columns
     lanes = max(LANES // forests, 1 << 12)  # every forest has a number for each lane
 
@@ -384,8 +409,14 @@ def _forests(spread: DataFrame, words: list[str], node: str, radii: tuple[int, .
                 unit = np.cumsum(new)[:end]
                 fp = np.stack([table.column(c).to_numpy()[:end] for c in words], axis=1)
                 comp = table.column("comp").to_numpy()[:end] if joined else None
-                a, b, more = unit_forest(unit, table.column("side").to_numpy()[:end], fp, radii, comp, forests)
+                side = table.column("side").to_numpy()[:end]
+                a, b, more = unit_forest(unit, side, fp, radii, comp, forests, groups)
                 names = table.column(node).to_numpy()
+                if groups:
+                    pairs = stars(a, b, names[:end])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["a", "b"])
+                    held, n = (table.slice(end).to_batches(), n - end) if end < n else ([], 0)
+                    return
                 far = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)).sum(axis=1, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(names[a], pa.int64()), pa.array(names[b], pa.int64()), pa.array(far), pa.array(more)], ["a", "b", "distance", "more"])
             held, n = (table.slice(end).to_batches(), n - end) if end < n else ([], 0)
@@ -399,7 +430,7 @@ def _forests(spread: DataFrame, words: list[str], node: str, radii: tuple[int, .
         if n:
             yield from work(True)
 
-    return spread.mapInArrow(run, "a long, b long, distance long, more boolean")
+    return spread.mapInArrow(run, "a long, b long" if groups else "a long, b long, distance long, more boolean")
 
 
 # -- similar texts
@@ -440,7 +471,7 @@ def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFram
     keys = F.transform(tables, lambda m: F.struct(m["t"].alias("t"), F.xxhash64(m["t"], *[F.col(w).bitwiseAND(m[w]) for w in words]).alias("key")))
     spread = _in_units(nodes.select("node", *words, F.inline(keys)), "node", block)
     # Which links a forest takes depends on the order of rows, so it is made once for both directions.
-    found = stored(_forests(spread, words, "node", (WIDE_RADIUS,)).select("a", "b").distinct())
+    found = stored(_forests(spread, words, "node", (WIDE_RADIUS,), groups=True).distinct())
     ranked = nodes.select(F.col("node").alias("fp"), "low")
     group = components(ranked, found).select(_anew("fp").alias("member"), F.col("node").alias("root"))
     # A text of many shingles counts for several, so that a unit's sets stay bounded.
@@ -451,7 +482,7 @@ def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFram
 
 
 def _alike(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """a, b: in every unit (key, i, j; see _in_units()) a spanning forest of the pairs whose sets have a similarity of SIMILARITY or more."""
+    """a, b: pairs whose sets have a similarity of SIMILARITY or more: in every unit (key, i, j; see _in_units()) a spanning forest, of two blocks what joins their own trees."""
     sets = sets_of(units.select("node").distinct())
     few = units.limit(FEW_MEMBERS + 1).count() <= FEW_MEMBERS
     near = units.select("key", "i", "j", "side", _anew("node").alias("kn"))
@@ -465,7 +496,7 @@ def _alike(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataF
         def done():
             side, names = (np.concatenate([h[k].to_numpy() for h in held]) for k in (0, 1))
             sizes = np.concatenate([h[2].value_lengths().to_numpy() for h in held]).astype(np.int64)
-            a, b = alike_forest(side, sizes, np.concatenate([h[2].flatten().to_numpy() for h in held]))
+            a, b = alike_forest(side, sizes, np.concatenate([h[2].flatten().to_numpy() for h in held]), between=True)
             return pa.RecordBatch.from_arrays([pa.array(names[a], pa.int64()), pa.array(names[b], pa.int64())], ["a", "b"])
 
         for x in batches:
@@ -486,13 +517,13 @@ def _alike(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataF
     return rows.mapInArrow(run, "a long, b long")
 
 
-def alike_forest(side: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs of sets with a similarity of SIMILARITY or more. sizes, values: the sets, one after another; side: as for unit_forest()."""
+def alike_forest(side: np.ndarray, sizes: np.ndarray, values: np.ndarray, between: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of sets with a similarity of SIMILARITY or more. sizes, values: the sets, one after another; side, between: as for unit_forest()."""
     code = np.unique(values, return_inverse=True)[1]
     often = np.bincount(code)
     post = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(code, kind="stable")]
     first, ends = np.cumsum(often) - often, np.cumsum(sizes)
-    up = np.arange(len(sizes))
+    up, inner = np.arange(len(sizes)), np.arange(len(sizes))
     a, b = [], []
     for t in range(1, len(sizes)):
         own = code[ends[t] - sizes[t] : ends[t]]
@@ -500,13 +531,19 @@ def alike_forest(side: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> tup
         m = often[own]
         other = post[np.repeat(first[own] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
         both = np.bincount(other[other < t], minlength=t)
-        alike = (both > 0) & (both >= SIMILARITY * (sizes[:t] + sizes[t] - both)) & ((side[:t] == 2) | (side[:t] != side[t]))
-        hit = np.flatnonzero(alike)
+        alike = (both > 0) & (both >= SIMILARITY * (sizes[:t] + sizes[t] - both))
+        own_side = (side[:t] != 2) & (side[:t] == side[t])
+        if between and len(hit := np.flatnonzero(alike & own_side)):
+            _link(inner, np.full(len(hit), t), hit)
+        hit = np.flatnonzero(alike if between else alike & ~own_side)
         if len(hit):
-            joined = _link(up, np.full(len(hit), t), hit)
+            joined = hit[_link(up, np.full(len(hit), t), hit)]
+            joined = joined[~own_side[joined]]
             a += [t] * len(joined)
-            b += hit[joined].tolist()
-    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+            b += joined.tolist()
+    a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+    joined = _link(inner, a, b)
+    return a[joined], b[joined]
 
 
 # -- components
@@ -534,9 +571,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """fp, label, node: for every node fp with a value `low` (null last), the smallest low reachable over edges a, b, and the node that has it.
 
     Labels are nodes' ranks (low, then fp), so they are total, and a label names the node
-    it began with. In each round every edge offers one end's label to the other end and to
-    the node that the other end's label names; each node takes the smallest offer, then the
-    label of the node that its own label names. Hooking whole trees this way, not only the
+    it began with. In each round every edge offers one end's label to the other end; the
+    smallest offer to a node goes to it and to the node that its label names; each node takes
+    the smallest it got, then the label of the node that its own label names. Hooking whole trees this way, not only the
     nodes at their edges, needs about the logarithm of a chain's length in rounds.
     """
     both = checkpointed(_anonymous(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))))
@@ -546,7 +583,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         far = now.select(_anew("fp").alias("kb"), F.col("label").alias("offer"))
         near = now.select(_anew("fp").alias("ka"), F.col("label").alias("own"))
-        met = both.join(far, _anew("b") == F.col("kb")).join(near, _anew("a") == F.col("ka")).filter("offer < own")
+        best = both.join(far, _anew("b") == F.col("kb")).groupBy("a").agg(F.min("offer").alias("offer"))
+        met = best.join(near, _anew("a") == F.col("ka")).filter("offer < own")
         offers = met.select(F.inline(F.array(F.struct(F.col("a").alias("fp"), F.col("offer").alias("label")), F.struct(F.col("own.node").alias("fp"), F.col("offer").alias("label")))))
         low = now.union(offers).groupBy("fp").agg(F.min("label").alias("label"))
         up = low.select(_anew("fp").alias("parent"), F.col("label").alias("top"))

@@ -523,3 +523,46 @@ def test_sets_of_units_equal_brute_force():
             for x, y in links:
                 up[:] = [min(up[x], up[y]) if k in (up[x], up[y]) else k for k in up]
         assert tree == want and len(a) == n - len(set(want))
+
+
+def connected(n, pairs):
+    up = list(range(n))
+    for x, y in pairs:
+        up = [min(up[x], up[y]) if k in (up[x], up[y]) else k for k in up]
+    return up
+
+
+@pytest.mark.parametrize("kind", ["fingerprints", "sets"])
+def test_links_of_a_bucket_in_blocks_grow_with_its_nodes(kind):
+    r = np.random.default_rng(8)
+    for n, blocks in ((60, 3), (240, 12)):
+        own = r.integers(0, blocks, n)
+        base = r.integers(0, 1 << 62, 3)
+        which = r.integers(0, 3, n)
+        fp = base[which] ^ (1 << r.integers(0, 30, n))
+        sets = [np.unique(np.r_[1000 * w : 1000 * w + 30, 500_000 + r.integers(0, 1000)]) for w in which]
+        found = []
+        for i in range(blocks):
+            for j in range(i, blocks):
+                at = np.flatnonzero((own == i) | (own == j))
+                side = np.where(i == j, 2, (own[at] != i).astype(int))
+                if kind == "sets":
+                    a, b = simhash.alike_forest(side, np.array([len(sets[k]) for k in at]), np.concatenate([sets[k] for k in at]), between=True)
+                    found += list(zip(at[a].tolist(), at[b].tolist(), strict=True))
+                else:
+                    a, b, _ = simhash.unit_forest(np.zeros(len(at), np.int64), side, fp[at].astype(np.int64), (2,), between=True)
+                    found += list(zip(*(x.tolist() for x in simhash.stars(a, b, at)), strict=True))
+        assert connected(n, found) == connected(n, [(int(np.flatnonzero(which == w)[0]), int(k)) for w in range(3) for k in np.flatnonzero(which == w)])
+        assert len(found) <= n + 3 * blocks * (blocks - 1) // 2  # with the blocks' own trees told again it was n * blocks
+
+
+def test_stars_join_a_nodes_trees_of_several_units():
+    a, b = simhash.stars(np.array([0, 3, 4]), np.array([1, 4, 5]), np.array([7, 9, 5, 9, 8, 7]))
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(8, 7), (9, 7)]
+
+
+def test_components_of_a_complete_graph(spark):
+    n = 40
+    nodes = spark.range(n).select(F.col("id").alias("fp"), F.col("id").alias("low"))
+    edges = spark.createDataFrame([(x, y) for x in range(n) for y in range(x)], "a long, b long")
+    assert {tuple(x) for x in simhash.components(nodes, edges).select("fp", "label").collect()} == {(x, 0) for x in range(n)}
