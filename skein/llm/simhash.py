@@ -17,8 +17,9 @@
    task's unit of its own, so a bucket with a large share of all rows is dealt out
    over the cluster and memory stays bounded. Units hand on a spanning forest of their
    links (fewer links than fingerprints), not all pairs.
-5. Components of these links: rounds of hooking to smaller labels and pointer jumping,
-   until nothing changes.
+5. Components of these links: links are compacted to stars and their leaves set aside;
+   the rest goes through rounds of hooking to smaller labels and pointer jumping, until
+   nothing changes.
 
 The filter drop_near_duplicates() has a wider net, by the same comparison: texts are
 similar if the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
@@ -69,6 +70,8 @@ DIFFERING = float(np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi)
 WIDE_RADIUS = 60
 #: Shingles that make a text count once more in a unit of sets, and rows of units that may be broadcast.
 HEAVY, FEW_MEMBERS = 1024, 500_000
+#: Links that a task joins to trees at once.
+LINKS = 1 << 20
 #: Bucket size that sets the length of keys, and the share of pairs at SIMILARITY that no table may hold.
 WIDE_BUCKET, MISSED = 64, 0.02
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -473,7 +476,7 @@ def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFram
     # Which links a forest takes depends on the order of rows, so it is made once for both directions.
     found = stored(_forests(spread, words, "node", (WIDE_RADIUS,), groups=True).distinct())
     ranked = nodes.select(F.col("node").alias("fp"), "low")
-    group = components(ranked, found).select(_anew("fp").alias("member"), F.col("node").alias("root"))
+    group = roots(found).select(_anew("fp").alias("member"), "root")
     # A text of many shingles counts for several, so that a unit's sets stay bounded.
     weight = F.ceil(F.col("shingles") / HEAVY).cast("long").alias("weight")
     rows = nodes.join(group, _anew("node") == F.col("member")).select(F.lit(0).alias("t"), F.col("root").alias("key"), "node", weight)
@@ -567,33 +570,82 @@ def _anonymous(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """fp, label, node: for every node fp with a value `low` (null last), the smallest low reachable over edges a, b, and the node that has it.
+def _compacted(links: DataFrame) -> DataFrame:
+    """a, b (a > b): links that connect the same nodes, as stars() of each task's links; a node's links to smaller ones are in one task."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def done():
+            table = pa.Table.from_batches(held)
+            n = table.num_rows
+            pairs = stars(np.arange(n), np.arange(n) + n, np.concatenate([table.column(k).to_numpy() for k in (0, 1)]))
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(h.num_rows for h in held) >= LINKS:
+                yield done()
+                held = []
+        if held:
+            yield done()
+
+    parts = max(1, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return links.repartition(parts, "a").mapInArrow(run, "a long, b long").distinct()
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """fp, root: for every node of the edges a, b one node of its component, the same for all of it.
+
+    Edges are first compacted twice: trees of several tables or units over the same nodes
+    become one, told as stars. A node with one link, to a smaller node, and none to it
+    takes that node's root at the end. Only links among the others go through rounds, so
+    what the rounds move doesn't grow with a star's leaves.
 
-    Labels are nodes' ranks (low, then fp), so they are total, and a label names the node
-    it began with. In each round every edge offers one end's label to the other end; the
-    smallest offer to a node goes to it and to the node that its label names; each node takes
-    the smallest it got, then the label of the node that its own label names. Hooking whole trees this way, not only the
-    nodes at their edges, needs about the logarithm of a chain's length in rounds.
+    In each round every edge offers one end's label to the other end; the smallest offer to
+    a node goes to it and to the node that its label names; each node takes the smallest it
+    got, then the label of the node that its own label names. Hooking whole trees this way,
+    not only the nodes at their edges, needs about the logarithm of a chain's length in rounds.
     """
-    both = checkpointed(_anonymous(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))))
-    start = nodes.join(both.select(F.col("a").alias("fp")).distinct(), "fp", "left_semi")
-    rank = F.struct(F.col("low").isNull().alias("none"), F.col("low"), F.col("fp").alias("node"))
-    now = checkpointed(_anonymous(start.select("fp", rank.alias("label"))))
+    links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
+    links = checkpointed(_anonymous(_compacted(_compacted(links))))
+    none = F.lit(None).cast("long")
+    ends = links.select(F.inline(F.array(F.struct(F.col("a").alias("fp"), F.col("b").alias("up")), F.struct(F.col("b").alias("fp"), none.alias("up")))))
+    ends = ends.groupBy("fp").agg(F.min("up").alias("up"), F.count("up").alias("own"), F.count(F.lit(1)).alias("all"))
+    leaf = (F.col("own") == 1) & (F.col("all") == 1)
+    known = checkpointed(_anonymous(ends.select("fp", F.when(leaf, F.col("up")).otherwise(F.col("fp")).alias("at"))))
+    leaves = known.filter("fp <> at").select(_anew("fp").alias("leaf"))
+    core = links.join(leaves, _anew("a") == F.col("leaf"), "left_anti")
+    both = checkpointed(_anonymous(core.union(core.select(F.col("b"), F.col("a")))))
+    if both.isEmpty():
+        return known.select("fp", F.col("at").alias("root"))
+    now = checkpointed(_anonymous(both.select(F.col("a").alias("fp"), F.col("a").alias("label")).distinct()))
     while True:
         far = now.select(_anew("fp").alias("kb"), F.col("label").alias("offer"))
         near = now.select(_anew("fp").alias("ka"), F.col("label").alias("own"))
         best = both.join(far, _anew("b") == F.col("kb")).groupBy("a").agg(F.min("offer").alias("offer"))
         met = best.join(near, _anew("a") == F.col("ka")).filter("offer < own")
-        offers = met.select(F.inline(F.array(F.struct(F.col("a").alias("fp"), F.col("offer").alias("label")), F.struct(F.col("own.node").alias("fp"), F.col("offer").alias("label")))))
+        offers = met.select(F.inline(F.array(F.struct(F.col("a").alias("fp"), F.col("offer").alias("label")), F.struct(F.col("own").alias("fp"), F.col("offer").alias("label")))))
         low = now.union(offers).groupBy("fp").agg(F.min("label").alias("label"))
         up = low.select(_anew("fp").alias("parent"), F.col("label").alias("top"))
-        jumped = low.join(up, _anew("label.node") == F.col("parent")).select("fp", F.least("label", "top").alias("label"))
+        jumped = low.join(up, _anew("label") == F.col("parent")).select("fp", F.least("label", "top").alias("label"))
         after = checkpointed(_anonymous(jumped))
         was = now.select(_anew("fp").alias("kw"), F.col("label").alias("was"))
-        if after.join(was, _anew("fp") == F.col("kw")).filter("label <> was").isEmpty():
-            return after.select("fp", F.col("label.low").alias("label"), "label.node")
+        settled = after.join(was, _anew("fp") == F.col("kw")).filter("label <> was").isEmpty()
         now = after
+        if settled:
+            break
+    top = now.select(_anew("fp").alias("kt"), F.col("label").alias("top"))
+    return known.join(top, _anew("at") == F.col("kt"), "left").select("fp", F.coalesce("top", "at").alias("root"))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """fp, label, node: for every node fp with an edge and a value `low` (null last), the smallest low reachable over edges a, b, and the node that has it."""
+    rank = F.struct(F.col("low").isNull().alias("none"), F.col("low"), F.col("fp").alias("node"))
+    of = roots(edges).select(_anew("fp").alias("member"), "root")
+    known = checkpointed(_anonymous(nodes.join(of, _anew("fp") == F.col("member")).select("fp", "root", rank.alias("label"))))
+    first = known.groupBy("root").agg(F.min("label").alias("label")).select(_anew("root").alias("kr"), "label")
+    return known.select("fp", "root").join(first, _anew("root") == F.col("kr")).select("fp", F.col("label.low").alias("label"), "label.node")
 
 
 def near_duplicates(df: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

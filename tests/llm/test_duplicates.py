@@ -566,3 +566,31 @@ def test_components_of_a_complete_graph(spark):
     nodes = spark.range(n).select(F.col("id").alias("fp"), F.col("id").alias("low"))
     edges = spark.createDataFrame([(x, y) for x in range(n) for y in range(x)], "a long, b long")
     assert {tuple(x) for x in simhash.components(nodes, edges).select("fp", "label").collect()} == {(x, 0) for x in range(n)}
+
+
+def test_rounds_move_no_more_links_than_a_group_has_nodes(spark, monkeypatch):
+    """A group whose trees are told by many tables, each with another root."""
+    n, tables = 400, 20
+    nodes = spark.range(n).select(F.col("id").alias("fp"), (-F.col("id")).alias("low"))
+    edges = spark.createDataFrame([(x, t) for t in range(tables) for x in range(t + 1, n)], "a long, b long")
+    seen = []
+    checkpointed = simhash.checkpointed
+    monkeypatch.setattr(simhash, "checkpointed", lambda df: seen.append(checkpointed(df)) or seen[-1])
+    got = {tuple(x) for x in simhash.components(nodes, edges).collect()}
+    assert got == {(x, 1 - n, n - 1) for x in range(n)}
+    assert max(x.count() for x in seen if x.columns == ["a", "b"]) <= n + tables  # both directions of all links: 15,580
+
+
+def test_roots_equal_brute_force(spark):
+    r = np.random.default_rng(4)
+    for n, m, batch in ((60, 45, 1 << 20), (300, 500, 16), (300, 280, 16)):
+        pairs = [(int(x), int(y)) for x, y in r.integers(0, n, (m, 2))] + [(0, 0)]
+        ids = r.integers(-(1 << 62), 1 << 62, n)
+        edges = spark.createDataFrame([(int(ids[x]), int(ids[y])) for x, y in pairs], "a long, b long")
+        at = {int(x): k for k, x in enumerate(ids)}
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(simhash, "LINKS", batch)
+            got = {at[x["fp"]]: at[x["root"]] for x in simhash.roots(edges).collect()}
+        want = connected(n, pairs)
+        assert set(got) == {k for p in pairs for k in p if p[0] != p[1]}
+        assert len({(want[k], got[k]) for k in got}) == len({want[k] for k in got}) == len(set(got.values()))
