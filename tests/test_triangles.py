@@ -148,3 +148,10 @@ def test_plans_have_no_cross_join(spark):
     for plan in PLANS:
         text = triangles.list_triangles(e, plan)._jdf.queryExecution().toString()
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_wedges_are_dealt_over_more_tasks_than_cores(spark):
+    e = edges(spark, K(12))
+    wedge = triangles.wedges(e)
+    assert sorted(map(tuple, wedge.collect())) == sorted((a, b, c) for a in range(12) for b in range(a) for c in range(b))
+    assert wedge.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
