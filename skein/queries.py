@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skein.functions import bits, grid
 from skein.model import AttributeScope, Graph, Orientation, QueryOptions, Strategy
 from skein.operators import adjacency as adj
+from skein.operators import cliques
 from skein.operators import metadata as meta
 from skein.operators import prepare, sinks
 from skein.operators import triangles as tri
@@ -281,7 +282,7 @@ QUERIES: dict[str, Query] = {
     "triangles_batch_counts": _on_part(lambda e: sinks.batch_counts(e, 4)),
     "triangles_count": _on_part(tri.count_triangles),
     "triangles_count_supp": lambda s, d: tri.count_triangles(DERIVED["supp"](s, d)),
-    "triangles_count_user": lambda s, d: tri.count_triangles(DERIVED["user"](s, d)),
+    "triangles_count_user": lambda s, d: cliques.count_triangles_of_groups(edge_sources.user_groups(s, d), "user_id", "hour", "event_type"),
     "triangles_range": _on_part(lambda e: tri.triangles_in_range(e, 500, 1200, 100, 700)),
     "triangles_verify": _on_part(_verified),
     "triangles_incremental": _incremental,
