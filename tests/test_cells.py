@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from skein.model import QueryOptions, Strategy
+from skein.model import TRIANGLE, QueryOptions, Strategy
 from skein.operators import triangles
 from skein.plans import cells
 from skein.sources.rmat import rmat_graph
@@ -64,3 +64,13 @@ def test_no_limit_on_the_queries_by_arrow(spark, sf, monkeypatch):
     monkeypatch.setattr(triangles, "ARROW_EDGES", 5)
     for name in ("triangles_list_arrow", "triangles_list_arrow_balanced"):
         assert QUERIES[name](spark, sf).count() == 125_968
+
+
+def test_rows_of_larger_graphs_are_never_null(spark, monkeypatch):
+    """Nullable columns cost a check of every value, and a level of every value in Parquet."""
+    e = rmat_graph(spark, 8).persist()
+    want = rows(triangles.list_triangles(e, Strategy.SEMI))
+    monkeypatch.setattr(triangles, "FEW_EDGES", 0)
+    got = triangles.list_triangles(e)
+    assert got.schema == TRIANGLE and rows(got) == want
+    e.unpersist()
